@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.llm.copies import collapsed, copy_pairs
+from spindrel.functions.smiles import canonical
+from spindrel.llm.copies import canonical_table, collapsed, copy_pairs
+from spindrel.llm.cross_split import cosine_join, overlap_counts
+from spindrel.llm.near_copies import distinct_sets, near_copy_groups, near_copy_pairs
+from spindrel.llm.pieces import chain_starts, cut_proteins
+from spindrel.llm.set_tokens import stretches
 from spindrel.llm.splits import grouped_split, linked_groups, read_split, registry_keys
 from spindrel.session import table, written
 
@@ -63,3 +70,110 @@ def p2_found(spark, d):
 @query("p2_collapsed")
 def p2_collapsed(spark, d):
     return collapsed(smiles_once(spark, d), "sample_id", "smiles").withColumnRenamed("id", "sample_id")
+
+
+def proteins_once(spark, d):
+    return once(table(spark, d, "sequences"), "protein_id", "sequence", "source", "split")
+
+
+def stretch_sets(proteins):
+    """``(id, tokens)``: the distinct stretches of five residues of each protein, chain marks and letter case ignored."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["protein_id"], "tokens": [stretches(chain_starts(t)[0]) for t in b["sequence"]]})
+
+    return proteins.where("sequence is not null").select("protein_id", "sequence").mapInPandas(run, "id long, tokens array<long>")
+
+
+#: Similarity of proteins at which the tables' cases begin.
+PROTEIN_SIMILARITY = 0.5
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    return near_copy_pairs(written(stretch_sets(proteins_once(spark, d)), "tokens"), PROTEIN_SIMILARITY)
+
+
+@query("p3_groups")
+def p3_groups(spark, d):
+    return near_copy_groups(written(stretch_sets(proteins_once(spark, d)), "tokens"), PROTEIN_SIMILARITY).withColumnRenamed("id", "protein_id")
+
+
+def text_vectors(keys):
+    """``(id, terms, weights)`` of canonical texts: their components and stretches of eight letters, weighted by the root of how
+    often they occur."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, k in zip(b["id"].tolist(), b["key"]):
+                a = np.frombuffer(b"\x00" + bytes(k) + b"\x00", np.uint8)
+                a = np.concatenate([a, np.zeros(max(0, 8 - len(a)), np.uint8)])
+                words = np.lib.stride_tricks.sliding_window_view(a, 8).copy().view(np.int64).ravel()
+                parts = np.array([hash_bytes(x) for x in bytes(k).split(b".")], np.int64)
+                terms, n = np.unique(np.concatenate([words, parts]), return_counts=True)
+                rows.append((i, terms, np.sqrt(n)))
+            yield pd.DataFrame(rows, columns=["id", "terms", "weights"])
+
+    return keys.mapInPandas(run, "id long, terms array<long>, weights array<double>")
+
+
+def hash_bytes(x: bytes) -> int:
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+
+
+def flat(text):
+    return canonical(text, stereo=False)
+
+
+def cross_split_pairs(spark, d):
+    """``(field, held_id, train_id)`` of both fields, by the cosine join; equal texts and sets are joined once and expanded last."""
+    s = smiles_once(spark, d).withColumn("part", read_split("split")).where("part is not null")
+    keys = canonical_table(s, "sample_id", "smiles", flat).join(s.select(F.col("sample_id").alias("id"), (F.col("part") == "train").alias("train")), "id")
+    keys = written(keys, "flat")
+    rep = {t: written(keys.where(F.col("train") == t).groupBy("key").agg(F.min("id").alias("id")), "texts") for t in (False, True)}
+    met = cosine_join(text_vectors(rep[False]), text_vectors(rep[True]), 0.9999)
+    same = met.join(rep[False].toDF("ka", "l"), "l").join(rep[True].toDF("kb", "r"), "r").where("ka = kb").select(F.col("ka").alias("key"))
+    of = lambda t, name: keys.where(F.col("train") == t).join(same, "key", "left_semi").select("key", F.col("id").alias(name))
+    smiles = of(False, "held_id").join(of(True, "train_id"), "key").select(F.lit("smiles").alias("field"), "held_id", "train_id")
+
+    p = proteins_once(spark, d).withColumn("part", read_split("split")).where("part is not null")
+    sets = written(stretch_sets(p).join(p.select(F.col("protein_id").alias("id"), (F.col("part") == "train").alias("train")), "id"), "tokens")
+    side = {t: distinct_sets(sets.where((F.col("train") == t) & (F.size("tokens") > 0)).select("id", "tokens")) for t in (False, True)}
+    # A similarity of one half is a cosine of two thirds at least, as sizes differ or not.
+    flat_weights = lambda x: x.select("id", "tokens").withColumn("weights", F.transform("tokens", lambda t: F.lit(1.0))).withColumnRenamed("tokens", "terms")
+    met = cosine_join(flat_weights(side[False][0]), flat_weights(side[True][0]), 2 * PROTEIN_SIMILARITY / (1 + PROTEIN_SIMILARITY))
+    n = lambda t, i, c: side[t][0].select(F.col("id").alias(i), F.size("tokens").alias(c))
+    near = met.join(n(False, "l", "nl"), "l").join(n(True, "r", "nr"), "r").where(F.col("shared") >= PROTEIN_SIMILARITY * (F.col("nl") + F.col("nr") - F.col("shared")))
+    held, train = side[False][1].toDF("held_id", "l"), side[True][1].toDF("train_id", "r")
+    proteins = near.select("l", "r").join(held, "l").join(train, "r").select(F.lit("sequences").alias("field"), "held_id", "train_id")
+    records = s.select(F.lit("smiles").alias("field"), F.col("sample_id").alias("id"), F.col("part").alias("split"), "source")
+    records = records.unionByName(p.select(F.lit("sequences").alias("field"), F.col("protein_id").alias("id"), F.col("part").alias("split"), "source"))
+    return smiles.unionByName(proteins), records
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    pairs, _ = cross_split_pairs(spark, d)
+    return pairs.select("field", F.least("held_id", "train_id").alias("id_a"), F.greatest("held_id", "train_id").alias("id_b"))
+
+
+@query("p5_counts")
+def p5_counts(spark, d):
+    pairs, records = cross_split_pairs(spark, d)
+    return overlap_counts(pairs, records)
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    cut = cut_proteins(proteins_once(spark, d), table(spark, d, "residues"))
+    return cut.where("piece = 0").select(F.col("id").alias("protein_id"), F.explode("chains").alias("at")).select("protein_id", F.col("at").cast("long").alias("chain_start"))
+
+
+@query("p6_pieces")
+def p6_pieces(spark, d):
+    cut = cut_proteins(proteins_once(spark, d), table(spark, d, "residues"))
+    return cut.select(F.col("id").alias("protein_id"), "piece", "chain_no", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), "residues", "natural")
