@@ -20,7 +20,8 @@ from spindrel.session import written
 
 #: Members of a leaf, children of a node, and sets that one token may bring together in one task; more are spread in blocks.
 LEAF, FAN, BLOCK = 8, 4, 4096
-_PAIRS = 400_000
+#: Pairs that are looked at at once, and rows a task holds before it passes them on.
+_PAIRS, HELD = 200_000, 20_000
 
 
 def needed(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
@@ -117,30 +118,35 @@ def _postings(table, threshold: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level = table.value
+        held: list[tuple] = []
+        rows = 0
         for b in batches:
-            out = []
             for i, tokens in zip(b["id"].tolist(), b["tokens"]):
                 n = len(tokens)
                 cells = level[cell_of(tokens)]
                 order = np.lexsort((mixed(tokens), cells))
                 probe, index = n - math.ceil(threshold * n - 1e-9) + 1, n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
                 order = order[:probe]
-                alone = cells[order] > 1  # a cell that counted one token has no second set
-                at = np.flatnonzero(alone)
+                at = np.flatnonzero(cells[order] > 1)  # a cell that counted one token has no second set
                 if not len(at):
                     continue
-                bits = bitmap(tokens)
-                rare = tokens[order[at]]
                 blocks = np.ceil(most(cells[order[at]]) / BLOCK).astype(np.int64)
-                mine = (int(mixed(np.array([i]))[0] >> np.uint64(8))) % blocks
-                for t, indexed, m, k in zip(rare.tolist(), (at < index).tolist(), mine.tolist(), blocks.tolist()):
-                    if k == 1:
-                        out.append((t, 0, 0, i, n, indexed, bits))
-                    else:
-                        out += [(t, min(m, o), max(m, o), i, n, indexed, bits) for o in range(k)]
-            if out:
-                c = list(zip(*out))
-                yield pd.DataFrame({"token": c[0], "p": c[1], "q": c[2], "id": c[3], "n": c[4], "indexed": c[5], "bits": [x.tobytes() for x in c[6]]})
+                copies = np.repeat(np.arange(len(at)), blocks)
+                other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                mine = (int(mixed(np.array([i]))[0] >> np.uint64(8)) % blocks)[copies]
+                held.append((tokens[order[at]][copies], np.minimum(mine, other), np.maximum(mine, other), i, n, (at < index)[copies], bitmap(tokens).tobytes()))
+                rows += len(copies)
+                if rows > HELD:
+                    yield together(held)
+                    held, rows = [], 0
+        if held:
+            yield together(held)
+
+    def together(held: list[tuple]) -> pd.DataFrame:
+        token, p, q, i, n, indexed, bits = zip(*held)
+        size = [len(x) for x in token]
+        many = lambda x, kind: np.repeat(np.array(x, kind), size)
+        return pd.DataFrame({"token": np.concatenate(token), "p": np.concatenate(p).astype(np.int32), "q": np.concatenate(q).astype(np.int32), "id": many(i, np.int64), "n": many(n, np.int32), "indexed": np.concatenate(indexed), "bits": many(bits, object)})
 
     return run
 
