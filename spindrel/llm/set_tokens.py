@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Cells of the frequency table, residues of a stretch, and 64-bit words of a bitmap.
-CELLS, STRETCH, WORDS = 1 << 22, 5, 8
+CELLS, STRETCH, WORDS = 1 << 22, 5, 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
