@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spindrel.functions.smiles import canonical
 from spindrel.llm.copies import canonical_table, collapsed, copy_pairs
 from spindrel.llm.cross_split import cosine_join, overlap_counts
+from spindrel.llm.leaks import leaks
 from spindrel.llm.near_copies import distinct_sets, near_copy_groups, near_copy_pairs
 from spindrel.llm.pieces import chain_starts, cut_proteins
 from spindrel.llm.set_tokens import stretches
@@ -177,3 +178,17 @@ def p6_found(spark, d):
 def p6_pieces(spark, d):
     cut = cut_proteins(proteins_once(spark, d), table(spark, d, "residues"))
     return cut.select(F.col("id").alias("protein_id"), "piece", "chain_no", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), "residues", "natural")
+
+
+def found_leaks(spark, d):
+    return leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    return found_leaks(spark, d).select("doc_id", "item_id")
+
+
+@query("p8_passages")
+def p8_passages(spark, d):
+    return found_leaks(spark, d)
