@@ -14,7 +14,9 @@ from spindrel.llm.copies import canonical_table, collapsed, copy_pairs
 from spindrel.llm.cross_split import cosine_join, overlap_counts
 from spindrel.llm.leaks import leaks
 from spindrel.llm.near_copies import distinct_sets, near_copy_groups, near_copy_pairs
+from spindrel.llm.packing import packed
 from spindrel.llm.pieces import chain_starts, cut_proteins
+from spindrel.llm.pii import personal_information, without_personal_information
 from spindrel.llm.set_tokens import stretches
 from spindrel.llm.splits import grouped_split, linked_groups, read_split, registry_keys
 from spindrel.session import table, written
@@ -192,3 +194,18 @@ def p8_found(spark, d):
 @query("p8_passages")
 def p8_passages(spark, d):
     return found_leaks(spark, d)
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    return personal_information(table(spark, d, "documents")).select("doc_id", "pii_type", "start_pos")
+
+
+@query("p9_redacted")
+def p9_redacted(spark, d):
+    return without_personal_information(table(spark, d, "documents"))
+
+
+@query("p7_containers")
+def p7_containers(spark, d):
+    return packed(table(spark, d, "documents"))
