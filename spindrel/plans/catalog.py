@@ -1,5 +1,6 @@
 """All queries of the core; importing the modules registers them."""
 
+from spindrel.plans import ragged_queries  # noqa: F401
 from spindrel.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
