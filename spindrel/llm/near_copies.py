@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrel.llm.set_tokens import WORDS, bitmap, cell_of, frequency_table, mixed, most, ones
-from spindrel.session import written
+from spindrel.session import wide_rows, written
 
 #: Members of a leaf, children of a node, and sets that one token may bring together in one task; more are spread in blocks.
 LEAF, FAN, BLOCK = 8, 4, 4096
@@ -219,6 +219,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     most sets share is met last and, where it is met, in blocks of at most some thousand sets, block against block.
     """
     spark = sets.sparkSession
+    wide_rows(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = sets.where(F.size("tokens") > 0)
     table = spark.sparkContext.broadcast(frequency_table(sets))

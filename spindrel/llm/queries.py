@@ -19,7 +19,7 @@ from spindrel.llm.pieces import chain_starts, cut_proteins
 from spindrel.llm.pii import personal_information, without_personal_information
 from spindrel.llm.set_tokens import stretches
 from spindrel.llm.splits import grouped_split, linked_groups, read_split, registry_keys
-from spindrel.session import table, written
+from spindrel.session import table, wide_rows, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +76,7 @@ def p2_collapsed(spark, d):
 
 
 def proteins_once(spark, d):
+    wide_rows(spark)
     return once(table(spark, d, "sequences"), "protein_id", "sequence", "source", "split")
 
 
