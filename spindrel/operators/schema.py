@@ -37,7 +37,7 @@ def bad_references(df: DataFrame, column: str, targets: DataFrame, key: str) ->
 def remapped(df: DataFrame, column: str, mapping: DataFrame, on: list[str] = ()) -> DataFrame:
     """``df`` with a reference replaced by ``mapping (on..., old, new)``, -1 where its target is gone."""
     m = mapping.select(*on, F.col("old").alias(column), F.col("new").alias("_new"))
-    return df.join(m, [*on, column], "left").withColumn(column, F.coalesce("_new", F.lit(-1).cast("long"))).drop("_new")
+    return df.join(m, [*on, column], "left").withColumn(column, F.coalesce("_new", F.lit(-1).cast("long"))).select(df.columns)
 
 
 def selection(df: DataFrame, index: DataFrame, key: str) -> DataFrame:
