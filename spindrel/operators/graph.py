@@ -204,9 +204,10 @@ def absolute_ids(g: Graphs) -> DataFrame:
     return n.join(F.broadcast(g.offsets().select("graph_id", "node_offset")), "graph_id").select("graph_id", "node_id", (F.col("k") + F.col("node_offset")).alias("absolute"))
 
 
-def match(edges: DataFrame, patterns: DataFrame, cols: tuple[str, ...] = ("h", "r", "t")) -> DataFrame:
+def match(edges: DataFrame, patterns: DataFrame, cols: tuple[str, ...] = ("h", "r", "t"), kinds: list[str] | None = None) -> DataFrame:
     """``(pattern_id, edge columns)`` of the edges that agree with a pattern, -1 standing for anything. One equi-join for each kind
-    of pattern; a pattern of wildcards only is refused."""
+    of pattern (which columns are fixed); a pattern of wildcards only is refused. ``kinds`` names the kinds where they are known, such
+    as ``["hr", "t"]``; patterns of other kinds are an error then."""
     from functools import reduce
     from itertools import product
 
@@ -216,6 +217,10 @@ def match(edges: DataFrame, patterns: DataFrame, cols: tuple[str, ...] = ("h", "
     for kind in product((True, False), repeat=len(cols)):
         mine = reduce(lambda a, b: a & b, [fixed[c] if on else ~fixed[c] for c, on in zip(cols, kind)])
         keys = [c for c, on in zip(cols, kind) if on]
+        if kinds is not None and keys and "".join(keys) not in kinds:
+            continue
+        if kinds is not None and not keys:
+            mine = ~F.concat(*[F.when(fixed[c], c).otherwise("") for c in cols]).isin(kinds)
         if not keys:
             bad = F.raise_error(F.lit("a pattern needs a fixed part")).cast(dict(p.dtypes)["pattern_id"])
             out.append(p.where(mine).select(bad.alias("pattern_id"), *[F.lit(None).cast(k).alias(c) for c, k in edges.dtypes]))

@@ -220,12 +220,12 @@ for kind in ("hr", "rt", "h", "t", "hrt", "ht"):
 
     @query(f"match_{kind}", sql(f"WITH $kg, {_PAT} {_match_sql(kind)}"))
     def _(s, d, kind=kind):
-        return G.match(kg(s, d), _patterns(s, d, kind))
+        return G.match(kg(s, d), _patterns(s, d, kind), kinds=[kind])
 
 
 @query("match_counts", sql(f"WITH $kg, {_PAT}, m AS ({_match_sql('hr')} UNION ALL {_match_sql('rt')} UNION ALL {_match_sql('t')}) SELECT pattern_id, count(*) AS n FROM m GROUP BY 1"))
 def _(s, d):
-    return G.match(kg(s, d), _patterns(s, d, "hr", "rt", "t")).groupBy("pattern_id").agg(F.count("*").alias("n"))
+    return G.match(kg(s, d), _patterns(s, d, "hr", "rt", "t"), kinds=["hr", "rt", "t"]).groupBy("pattern_id").agg(F.count("*").alias("n"))
 
 
 def _pairs(s, d):

@@ -26,9 +26,9 @@ _SQL_AGG = {"add": ("sum", "0"), "min": ("min", "'inf'::double"), "max": ("max",
 for add, (agg, empty) in _SQL_AGG.items():
     for mul, op in (("mul", "*"), ("add", "+")):
 
-        @query(f"spmm_{add}_{mul}", sql(f"WITH $pn, $pe, {_X}, y AS (SELECT pe.graph_id, node_in AS node_id, {agg}(weight {op} x) AS y FROM pe JOIN x ON x.graph_id = pe.graph_id AND x.node_id = node_out GROUP BY 1, 2) SELECT x.graph_id, x.node_id, round(coalesce(y, {empty}), 6) AS y FROM x LEFT JOIN y USING (graph_id, node_id)"))
+        @query(f"spmm_{add}_{mul}", sql(f"WITH $pn, $pe, {_X}, y AS (SELECT pe.graph_id, node_in AS node_id, {agg}(weight {op} x) AS y FROM pe JOIN x ON x.graph_id = pe.graph_id AND x.node_id = node_out GROUP BY 1, 2) SELECT x.graph_id, x.node_id, round(coalesce(y, {empty}), 9) AS y FROM x LEFT JOIN y USING (graph_id, node_id)"))
         def _(s, d, add=add, mul=mul):
-            return r6(P.spmm(pg_edges(s, d), nodes(s, d), add, mul))
+            return r6(P.spmm(pg_edges(s, d), nodes(s, d), add, mul), n=9)
 
         @query(f"rspmm_{add}_{mul}", sql(f"WITH $kg, n AS (SELECT DISTINCT h AS i FROM kg UNION SELECT t FROM kg), x AS (SELECT i, i % 17 - 8.0::double AS x FROM n), y AS (SELECT h AS i, {agg}(weight * ((r - 2.0::double) {op} x)) AS y FROM kg JOIN x ON i = t GROUP BY 1) SELECT i AS node_id, round(coalesce(y, {empty}), 4) AS y FROM n LEFT JOIN y USING (i)"))
         def _(s, d, add=add, mul=mul):
@@ -85,9 +85,9 @@ def _(s, d):
     return r6(P.summed(pg_edges(s, d), nodes(s, d), "mean"))
 
 
-@query("gin_aggregate", sql(f"WITH $pn, $pe, {_X}, y AS ({_IN}) SELECT x.graph_id, x.node_id, round(1.1 * x + coalesce(y, 0), 5) AS y FROM x LEFT JOIN y USING (graph_id, node_id)"))
+@query("gin_aggregate", sql(f"WITH $pn, $pe, {_X}, y AS ({_IN}) SELECT x.graph_id, x.node_id, round(1.1 * x + coalesce(y, 0), 8) AS y FROM x LEFT JOIN y USING (graph_id, node_id)"))
 def _(s, d):
-    return r6(P.gin(pg_edges(s, d), nodes(s, d), 0.1), n=5)
+    return r6(P.gin(pg_edges(s, d), nodes(s, d), 0.1), n=8)
 
 
 _LOOPED = "e AS (SELECT * FROM pe UNION ALL SELECT graph_id, node_id, node_id, 1.0::double FROM pn), a AS (SELECT graph_id, node_in, sum(weight) AS da FROM e GROUP BY 1, 2), b AS (SELECT graph_id, node_out, sum(weight) AS db FROM e GROUP BY 1, 2)"

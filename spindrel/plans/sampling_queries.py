@@ -40,9 +40,9 @@ def _(s, d):
     return S.node_sample(e, n, 60, 5)[1].withColumn("weight", F.round("weight", 6))
 
 
-@query("edge_sampler", sql(f"WITH $kg, {_K}, a AS (SELECT h, sum(weight) AS da FROM k GROUP BY 1), b AS (SELECT t, sum(weight) AS db FROM k GROUP BY 1), q AS (SELECT *, 1 / da + 1 / db AS q FROM k JOIN a USING (h) JOIN b USING (t)), p AS (SELECT h, t, weight, q / sum(q) OVER () AS p, count(*) OVER () AS m FROM q) SELECT h AS node_in, t AS node_out, round(weight / (80 * p / m), 4) AS weight FROM p ORDER BY ln({_U.format('6, h, t')}) / p DESC, h, t LIMIT 80"))
+@query("edge_sampler", sql(f"WITH $kg, {_K}, a AS (SELECT h, sum(weight) AS da FROM k GROUP BY 1), b AS (SELECT t, sum(weight) AS db FROM k GROUP BY 1), q AS (SELECT *, 1 / da + 1 / db AS q FROM k JOIN a USING (h) JOIN b USING (t)), p AS (SELECT h, t, weight, q / sum(q) OVER () AS p, count(*) OVER () AS m FROM q) SELECT h AS node_in, t AS node_out, round(weight / (80 * p / m) / 1000, 3) AS weight FROM p ORDER BY ln({_U.format('6, h, t')}) / p DESC, h, t LIMIT 80"))
 def _(s, d):
-    return S.edge_sample(_plain(s, d)[0], 80, 6).withColumn("weight", F.round("weight", 4))
+    return S.edge_sample(_plain(s, d)[0], 80, 6).withColumn("weight", F.round(F.col("weight") / 1000, 3))
 
 
 @query("strict_negative", sql(f"WITH $kg, ent AS (SELECT unnest(range((SELECT max(t) + 1 FROM kg))) AS e), free AS (SELECT hr.h, hr.r, e, row_number() OVER (PARTITION BY hr.h, hr.r ORDER BY e) - 1 AS place, count(*) OVER (PARTITION BY hr.h, hr.r) AS n FROM (SELECT DISTINCT h, r FROM kg WHERE h % 40 = 3) hr, ent WHERE NOT EXISTS (SELECT 1 FROM kg k WHERE k.h = hr.h AND k.r = hr.r AND k.t = e)) SELECT kg.h, kg.r, kg.t, g.range AS draw, free.e AS negative FROM kg, range(2) g, free WHERE kg.h % 40 = 3 AND free.h = kg.h AND free.r = kg.r AND free.place = {_KEY.format('9, kg.h, kg.r, kg.t, g.range')} % free.n"))
