@@ -12,6 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrel.operators.ordered import numbered, running
+
 
 def _renumber(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
@@ -33,10 +35,9 @@ class Graphs:
         return n.join(e, "graph_id", "left").fillna(0, ["num_edge"])
 
     def offsets(self) -> DataFrame:
-        """Cumulative counts over the batch in the order of ``graph_id`` (a row a graph)."""
-        w = Window.orderBy("graph_id").rowsBetween(Window.unboundedPreceding, -1)
-        z = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
-        return self.sizes().withColumn("node_offset", z("num_node")).withColumn("edge_offset", z("num_edge"))
+        """Cumulative counts over the batch in the order of ``graph_id``."""
+        r = running(self.sizes().withColumn("_t", F.lit(0).cast("long")), "graph_id", "_t", {"node_offset": F.col("num_node"), "edge_offset": F.col("num_edge")})
+        return r.withColumn("node_offset", F.col("node_offset") - F.col("num_node")).withColumn("edge_offset", F.col("edge_offset") - F.col("num_edge")).drop("_t")
 
     def degree_in(self) -> DataFrame:
         """Weighted number of edges that leave a node (grouped by ``node_in``); 0 for nodes without any."""
@@ -87,8 +88,7 @@ class Graphs:
         """The graphs in ``keep (graph_id)``; with ``compact`` numbered anew in the order of their ids."""
         if not compact:
             return Graphs(self.nodes.join(keep, "graph_id", "left_semi"), self.edges.join(keep, "graph_id", "left_semi"))
-        m = keep.select("graph_id").distinct().withColumn("new_graph", (F.row_number().over(Window.orderBy("graph_id")) - 1).cast("long"))
-        return self._regraphed(m)
+        return self._regraphed(numbered(keep.select("graph_id").distinct(), "graph_id", name="new_graph"))
 
     def select_graphs(self, index: DataFrame) -> Graphs:
         """Graphs by ``index (pos, graph_id)``, in any order and as often as they stand there; ``pos`` becomes the graph id."""
@@ -129,20 +129,20 @@ class Graphs:
     def repeat(self, count: int) -> Graphs:
         """The batch ``count`` times, copy by copy."""
         m = self.nodes.select("graph_id").distinct()
-        m = m.withColumn("g", F.row_number().over(Window.orderBy("graph_id")) - 1).withColumn("b", F.count("*").over(Window.partitionBy()))
+        m = numbered(m, "graph_id", name="g").crossJoin(F.broadcast(m.agg(F.count("*").alias("b"))))
         m = m.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))) if count > 0 else m.limit(0).withColumn("copy", F.lit(0))
         return self._regraphed(m.select("graph_id", (F.col("copy") * F.col("b") + F.col("g")).cast("long").alias("new_graph")))
 
     def repeat_interleave(self, repeats: DataFrame) -> Graphs:
         """Each graph as often as ``repeats (graph_id, r)`` says, graph by graph; 0 drops it."""
         m = repeats.where("r > 0").select("graph_id", F.explode(F.sequence(F.lit(1), F.col("r").cast("int"))).alias("k"))
-        return self._regraphed(m.select("graph_id", (F.row_number().over(Window.orderBy("graph_id", "k")) - 1).cast("long").alias("new_graph")))
+        return self._regraphed(numbered(m, "graph_id", "k", "new_graph").drop("k"))
 
     def split(self, label: Column | str) -> Graphs:
-        """Nodes of each graph parted by a label; edges between parts go, parts are numbered by graph and label."""
+        """Nodes of each graph parted by a numeric label; edges between parts go, parts are numbered by graph and label."""
         lab = F.col(label) if isinstance(label, str) else label
         n = self.nodes.withColumn("_l", lab)
-        parts = n.select("graph_id", "_l").distinct().withColumn("part", (F.row_number().over(Window.orderBy("graph_id", "_l")) - 1).cast("long"))
+        parts = numbered(n.select("graph_id", "_l").distinct(), "graph_id", "_l", "part")
         n = _renumber(n.join(parts, ["graph_id", "_l"]), ["part"], ["node_id"], "new_id")
         m = n.select("graph_id", "node_id", "new_id", "part")
         e = self.edges.join(m.toDF("graph_id", "node_in", "a", "part"), ["graph_id", "node_in"]).join(m.toDF("graph_id", "node_out", "b", "part"), ["graph_id", "node_out", "part"])
@@ -201,7 +201,7 @@ def from_dense(rows: DataFrame) -> DataFrame:
 def absolute_ids(g: Graphs) -> DataFrame:
     """``(graph_id, node_id, absolute)``: node numbers over the whole batch, for output only."""
     n = _renumber(g.nodes.select("graph_id", "node_id"), ["graph_id"], ["node_id"], "k")
-    return n.join(F.broadcast(g.offsets().select("graph_id", "node_offset")), "graph_id").select("graph_id", "node_id", (F.col("k") + F.col("node_offset")).alias("absolute"))
+    return n.join(g.offsets().select("graph_id", "node_offset"), "graph_id").select("graph_id", "node_id", (F.col("k") + F.col("node_offset")).alias("absolute"))
 
 
 def match(edges: DataFrame, patterns: DataFrame, cols: tuple[str, ...] = ("h", "r", "t"), kinds: list[str] | None = None) -> DataFrame:

@@ -48,3 +48,11 @@ def running(df: DataFrame, order: str, tie: str, sums: dict[str, Column], descen
     for i, n in enumerate(names):
         out = out.withColumn(n, F.sum(f"_v{i}").over(inside) + F.col(f"_b{i}"))
     return out.select(*df.columns, *names)
+
+
+def numbered(df: DataFrame, order: str, tie: str | None = None, name: str = "number") -> DataFrame:
+    """``df`` with a number from 0 in the order of numeric columns, each (order, tie) once; no task sees all rows."""
+    tie_col = tie or "_tie"
+    d = df if tie else df.withColumn("_tie", F.lit(0).cast("long"))
+    out = running(d, order, tie_col, {}, count=name)
+    return out.withColumn(name, (F.col(name) - 1).cast("long")).select(*df.columns, name)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spindrel.operators.ordered import numbered
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line, value)`` of text files, lines counted from 0 within each file. Whole files are read as one task each, which a
@@ -16,15 +18,21 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_seen_ids(tokens: DataFrame) -> DataFrame:
-    """``(token, id)`` in the order of first appearance: ``tokens (token, at)``. One row a token reaches the ranking."""
+    """``(token, id)`` in the order of first appearance: ``tokens (token, at long)``, places unique. One row a token is ranked."""
     f = tokens.groupBy("token").agg(F.min("at").alias("at"))
-    return f.select("token", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("id"))
+    return numbered(f, "at", name="id").select("token", "id")
+
+
+def place(file: Column | int, line: Column | str, side: Column | int) -> Column:
+    """The place of a token as one number: file, line (below 2^41), and side."""
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return as_col(file).cast("long") * (1 << 42) + F.col(line).cast("long") * 2 + as_col(side).cast("long")
 
 
 def triplets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Triplets of ids and the vocabularies of entities and relations from ``rows (file_ord, line, h, r, t)`` of tokens; ids by first
     appearance, heads before tails of a line."""
-    at = lambda k: F.struct("file_ord", "line", F.lit(k).alias("side"))
+    at = lambda k: place(F.col("file_ord"), "line", k)
     ent = first_seen_ids(rows.select(F.col("h").alias("token"), at(0).alias("at")).unionByName(rows.select(F.col("t").alias("token"), at(1).alias("at"))))
     rel = first_seen_ids(rows.select(F.col("r").alias("token"), at(0).alias("at")))
     j = rows.join(ent.toDF("h", "hi"), "h").join(ent.toDF("t", "ti"), "t").join(F.broadcast(rel.toDF("r", "ri")), "r")
@@ -66,9 +74,9 @@ def read_nodes(spark: SparkSession, node_path: str, edge_path: str) -> tuple[Dat
     n = numbered_lines(spark, node_path).withColumn("f", F.split("value", "\t")).where(F.size("f") > 2)
     e = numbered_lines(spark, edge_path).withColumn("f", F.split("value", "\t")).where(F.size("f") == 2)
     node = n.select(F.col("f")[0].alias("token"), "line", F.transform(F.slice("f", F.lit(2), F.size("f") - 2), lambda x: x.cast("double")).alias("feature"), F.element_at("f", -1).alias("label_token"))
-    at = lambda k: F.struct(F.lit(k).alias("file"), "line", F.lit(0).alias("side"))
+    at = lambda k: place(k, "line", 0)
     ends = e.select(F.explode(F.array(F.struct(F.col("f")[0].alias("token"), F.lit(0).alias("side")), F.struct(F.col("f")[1].alias("token"), F.lit(1).alias("side")))).alias("x"), "line")
-    ids = first_seen_ids(node.select("token", at(0).alias("at")).unionByName(ends.select("x.token", F.struct(F.lit(1).alias("file"), "line", "x.side").alias("at"))))
+    ids = first_seen_ids(node.select("token", at(0).alias("at")).unionByName(ends.select("x.token", place(1, "line", F.col("x.side")).alias("at"))))
     labels = first_seen_ids(node.select(F.col("label_token").alias("token"), at(0).alias("at"))).toDF("label_token", "label")
     width = node.agg(F.max(F.size("feature"))).first()[0] or 0
     full = ids.join(node.join(F.broadcast(labels), "label_token", "left"), "token", "left")
