@@ -177,3 +177,72 @@ def canonical(text: str | None, stereo: bool = True) -> str | None:
             out.append(p)
     parts = sorted(p for p in "".join(out).split(".") if p)
     return ".".join(parts) or None
+
+
+def write(atoms: list[tuple], bonds: list[tuple]) -> str:
+    """A SMILES of atoms and bonds as :func:`parse` gives them, without stereo marks. Atoms are read depth first in their order; the
+    text parses to the same graph, but is no canonical form."""
+    near: list[list[tuple[int, float, int]]] = [[] for _ in atoms]
+    for k, (a, b, order, *_) in enumerate(bonds):
+        near[a].append((b, order, k))
+        near[b].append((a, order, k))
+
+    def atom(i: int) -> str:
+        number, charge, hs, aromatic, isotope, _, mapped = atoms[i]
+        symbol = ELEMENTS[number - 1] if number else "*"
+        text = symbol.lower() if aromatic else symbol
+        if (symbol in ORGANIC or symbol == "*") and not (charge or hs or isotope or mapped):
+            return text
+        sign = "" if not charge else ("+" if charge > 0 else "-") + (str(abs(charge)) if abs(charge) > 1 else "")
+        return f"[{isotope or ''}{text}{('H' + (str(hs) if hs > 1 else '')) if hs else ''}{sign}{f':{mapped}' if mapped else ''}]"
+
+    def bond(a: int, b: int, order: float) -> str:
+        both = atoms[a][3] and atoms[b][3]
+        return {1.0: "-" if both else "", 1.5: "" if both else ":", 2.0: "=", 3.0: "#", 4.0: "$"}[float(order)]
+
+    seen, parts = [False] * len(atoms), []
+    for root in range(len(atoms)):
+        if seen[root]:
+            continue
+        # Depth first without recursion: the tree's edges, and the bonds that close rings.
+        order_of, parent, rings, used = [], {root: (-1, 0.0)}, [], set()
+        stack = [(root, -1, 0.0, -1)]
+        while stack:
+            i, p, order, k = stack.pop()
+            if k in used:
+                continue
+            used.add(k)
+            if seen[i]:
+                rings.append((p, i, order))
+                continue
+            seen[i] = True
+            parent[i] = (p, order)
+            order_of.append(i)
+            stack += [(j, i, o, b) for j, o, b in reversed(near[i]) if b not in used]
+        place = {i: n for n, i in enumerate(order_of)}
+        opens: dict[int, list[int]] = {}
+        closes: dict[int, list[int]] = {}
+        for n, (a, b, _) in enumerate(rings):
+            first, last = sorted((a, b), key=place.__getitem__)
+            opens.setdefault(first, []).append(n)
+            closes.setdefault(last, []).append(n)
+        label, free, marks = {}, list(range(99, 0, -1)), {}
+        for i in order_of:
+            text = []
+            for n in closes.get(i, ()):
+                d = label[n]
+                text.append(bond(*rings[n]) + (str(d) if d < 10 else f"%{d}"))
+                free.append(d)
+            for n in opens.get(i, ()):
+                label[n] = d = free.pop()
+                text.append(bond(*rings[n]) + (str(d) if d < 10 else f"%{d}"))
+            marks[i] = "".join(text)
+        children: dict[int, list[int]] = {}
+        for i in order_of[1:]:
+            children.setdefault(parent[i][0], []).append(i)
+        built: dict[int, str] = {}
+        for i in reversed(order_of):
+            below = [bond(i, c, parent[c][1]) + built.pop(c) for c in children.get(i, ())]
+            built[i] = atom(i) + marks[i] + "".join(f"({x})" for x in below[:-1]) + (below[-1] if below else "")
+        parts.append(built[root])
+    return ".".join(parts)

@@ -187,6 +187,11 @@ def _(s, d):
     return C.bonds(_mols(s, d))
 
 
+@query("molecule_to_smiles")
+def _(s, d):
+    return C.to_smiles(_mols(s, d))
+
+
 @query("explicit_valence")
 def _(s, d):
     return C.valences(_mols(s, d))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrel.functions.smiles import NUMBER, parse
+from spindrel.functions.smiles import NUMBER, parse, write
 
 _GRAPH = (
     "id long, atoms array<struct<atom_type:int,formal_charge:int,explicit_hs:int,aromatic:boolean,isotope:int,chiral:string,atom_map:int>>, "
@@ -75,3 +75,15 @@ def reactions(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def symbol_numbers(spark) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in NUMBER.items()], "symbol string, atom_type int")
+
+
+def to_smiles(graphs: DataFrame) -> DataFrame:
+    """``(graph_id, smiles)``: each molecule as text again, without stereo marks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = ("atom_type", "formal_charge", "explicit_hs", "aromatic", "isotope", "chiral", "atom_map")
+        for b in batches:
+            text = [write([tuple(a[c] for c in order) for a in atoms_], [(x["a"], x["b"], x["order"], x["stereo"]) for x in bonds_]) for atoms_, bonds_ in zip(b["atoms"], b["bonds"])]
+            yield pd.DataFrame({"graph_id": b["id"], "smiles": text})
+
+    return graphs.mapInPandas(run, "graph_id long, smiles string")

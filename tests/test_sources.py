@@ -101,3 +101,31 @@ def test_registry_and_settings():
     assert nested(flatten({"a": {"b": 1}, "c": 2})) == {"a": {"b": 1}, "c": 2}
     assert means([{"a": {"b": 1}}, {"a": {"b": 3}}]) == {"a": {"b": 2}}
     assert duration(7200) == "2.00 hours" and duration(1) == "1.00 secs"
+
+
+def test_smiles_round_trip(spark, sf):
+    import pandas as pd
+
+    from spindrel.functions.smiles import parse, problem, write
+
+    def shape(g):
+        atoms, bonds = g
+        degree = [0.0] * len(atoms)
+        ends = []
+        for a, b, o, _ in bonds:
+            degree[a] += o
+            degree[b] += o
+        for a, b, o, _ in bonds:
+            ends.append((o, *sorted([(atoms[a][0], degree[a]), (atoms[b][0], degree[b])])))
+        return sorted((x[0], x[1], x[2], x[3], d) for x, d in zip(atoms, degree)), sorted(ends)
+
+    texts = [t.strip() for t in pd.read_parquet(f"{sf}/smiles.parquet").smiles.dropna() if problem(t.strip()) is None]
+    texts += ["C1CC2CC1CC2.[Na+].O", "c1ccccc1-c1ccccc1", "C" * 3000, "*C#N", "[13CH3:2]C", "C%12CCCCC%12", "C12C3C4C1C5C2C3C45"]
+    assert len(texts) > 50
+    for t in texts:
+        g = parse(t)
+        again = write(*g)
+        assert problem(again) is None and shape(parse(again)) == shape(g), (t, again)
+    assert write([], []) == ""
+    df = spark.createDataFrame([(1, "CC(=O)[O-]"), (2, "c1ccsc1")], "sample_id long, smiles string")
+    assert rows(C.to_smiles(C.parsed(df))) == [(1, "CC(=O)[O-]"), (2, "c1ccsc1")]
