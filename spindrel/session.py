@@ -72,7 +72,7 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
-def wide_rows(spark: SparkSession, rows: int = 1000) -> None:
+def wide_rows(spark: SparkSession, rows: int = 500) -> None:
     """Send rows that hold whole sets or texts to Python in batches of at most ``rows``: at some KB a row, batches of the default
     size would take several hundred MB of each worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
