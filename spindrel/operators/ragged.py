@@ -77,12 +77,17 @@ def ragged_meshgrid(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("set_id", F.col("pos").alias("pos_a"), F.col("value").alias("a")).join(b.select("set_id", F.col("pos").alias("pos_b"), F.col("value").alias("b")), "set_id")
 
 
-def to_padded(sets: DataFrame, width: int, value: float = 0.0) -> DataFrame:
-    """One array of ``width`` a set, and which places are real."""
-    a = sets.where(F.col("pos") < width).groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("z"))
+def to_padded(sets: DataFrame, width: int | None = None, value: float = 0.0) -> DataFrame:
+    """One array of ``width`` a set, and which places are real. Without ``width`` that of the largest set, so that no row is lost."""
+    if width is None:
+        w = sets.agg((F.max("pos") + 1).alias("_w"))
+        a = sets.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("z")).crossJoin(F.broadcast(w))
+    else:
+        a = sets.where(F.col("pos") < width).groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("z")).withColumn("_w", F.lit(width))
     n = F.size("z")
-    row = F.concat(F.transform("z", lambda x: x["value"]), F.array_repeat(F.lit(float(value)), (F.lit(width) - n).cast("int")))
-    mask = F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), (F.lit(width) - n).cast("int")))
+    rest = (F.col("_w") - n).cast("int")
+    row = F.concat(F.transform("z", lambda x: x["value"]), F.array_repeat(F.lit(float(value)), rest))
+    mask = F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), rest))
     return a.select("set_id", row.alias("padded"), mask.alias("mask"))
 
 
