@@ -120,6 +120,21 @@ def ranks(candidates: DataFrame, filtered: bool = True) -> DataFrame:
     return j.groupBy("query").agg((F.count(F.when(beat, 1)) + 1).alias("rank"))
 
 
+def block_ranks(test: DataFrame, known: DataFrame, blocks: DataFrame, filtered: bool = True) -> DataFrame:
+    """``(query, rank)`` as :func:`ranks` gives it, without a row for each query and entity.
+
+    ``test (query, h, r, block, score)`` has the score of each positive, ``known (h, r, score)`` a row for each known entity of a head
+    and relation, the positive one included, and ``blocks (block, score, n)`` how many entities have a score for the queries of a block.
+    Entities at least as good are counted a block and score; filtered ranks take away those known.
+    """
+    at_least = lambda *by: F.sum("n").over(Window.partitionBy(*by).orderBy(F.col("score").desc()))
+    j = test.join(blocks.select("block", "score", at_least("block").alias("beat")), ["block", "score"])
+    if filtered:
+        k = known.groupBy("h", "r", "score").agg(F.count("*").alias("n"))
+        j = j.join(k.select("h", "r", "score", at_least("h", "r").alias("known")), ["h", "r", "score"]).withColumn("beat", F.col("beat") - F.col("known"))
+    return j.select("query", (F.col("beat") + 1).alias("rank"))
+
+
 def rank_metrics(r: DataFrame, hits: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
     return r.agg(F.avg("rank").alias("mr"), F.avg(1 / F.col("rank")).alias("mrr"), *[F.avg((F.col("rank") <= k).cast("double")).alias(f"hits_{k}") for k in hits])
 

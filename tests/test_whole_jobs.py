@@ -1,6 +1,10 @@
 """Jobs done whole: no set, triplet, head or length is left out."""
 
+import pytest
+
 from spindrel.operators import ragged as R
+from spindrel.plans.catalog import QUERIES, SQL
+from spindrel.plans.compare import differences, duck
 
 
 def rows(df):
@@ -13,3 +17,13 @@ def test_padding_to_the_largest_set_gives_every_row_back(spark):
     p = {r.set_id: (r.padded, r.mask) for r in R.to_padded(x).collect()}
     assert p[2] == ([5.0] + [0.0] * 8, [True] + [False] * 8) and all(p[1][1])
     assert rows(R.from_padded(R.to_padded(x), R.sizes_of(x))) == sorted(data)
+
+
+@pytest.mark.parametrize("kind", ["filtered", "unfiltered"])
+@pytest.mark.parametrize("what", ["rank", "metrics"])
+def test_every_triplet_is_ranked(spark, sf, kind, what):
+    """The SQL of the subset without its condition gives the same rows."""
+    cut = "kg WHERE h < 20 AND r = 1"
+    base = SQL[f"kgc_{kind}_{what}"]
+    assert base.count(cut) == 1
+    assert differences(QUERIES[f"kgc_{kind}_{what}_whole"](spark, sf), duck(sf), base.replace(cut, "kg")) is None
