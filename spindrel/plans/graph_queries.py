@@ -196,8 +196,8 @@ def _(s, d):
 # -- patterns and lookups over the knowledge graph
 
 
-def _patterns(s, d, *kinds):
-    k = kg(s, d).where("h % 50 = 3 and t % 10 = 1")
+def _patterns(s, d, *kinds, whole=False):
+    k = kg(s, d) if whole else kg(s, d).where("h % 50 = 3 and t % 10 = 1")
     x = lambda c: F.lit(-1).cast("long").alias(c)
     out = None
     for i, kind in enumerate(kinds):
@@ -228,6 +228,21 @@ def _(s, d):
     return G.match(kg(s, d), _patterns(s, d, "hr", "rt", "t"), kinds=["hr", "rt", "t"]).groupBy("pattern_id").agg(F.count("*").alias("n"))
 
 
+# The distinct patterns of all triplets. A triplet agrees with one pattern of each kind, so the rows stay linear.
+_WHOLE = "k AS (SELECT * FROM kg)"
+
+for kind in ("hr", "rt", "h", "t", "hrt", "ht"):
+
+    @query(f"match_{kind}_whole", sql(f"WITH $kg, {_WHOLE} {_match_sql(kind)}"))
+    def _(s, d, kind=kind):
+        return G.match(kg(s, d), _patterns(s, d, kind, whole=True), kinds=[kind])
+
+
+@query("match_counts_whole", sql(f"WITH $kg, {_WHOLE}, m AS ({_match_sql('hr')} UNION ALL {_match_sql('rt')} UNION ALL {_match_sql('t')}) SELECT pattern_id, count(*) AS n FROM m GROUP BY 1"))
+def _(s, d):
+    return G.match(kg(s, d), _patterns(s, d, "hr", "rt", "t", whole=True), kinds=["hr", "rt", "t"]).groupBy("pattern_id").agg(F.count("*").alias("n"))
+
+
 def _pairs(s, d):
     return table(s, d, "orders").select(F.col("o_custkey").alias("h"), (F.col("o_orderkey") % 5).alias("r")).distinct()
 

@@ -5,6 +5,7 @@ import pytest
 from spindrel.operators import ragged as R
 from spindrel.plans.catalog import QUERIES, SQL
 from spindrel.plans.compare import differences, duck
+from spindrel.plans.views import kg
 
 
 def rows(df):
@@ -27,3 +28,10 @@ def test_every_triplet_is_ranked(spark, sf, kind, what):
     base = SQL[f"kgc_{kind}_{what}"]
     assert base.count(cut) == 1
     assert differences(QUERIES[f"kgc_{kind}_{what}_whole"](spark, sf), duck(sf), base.replace(cut, "kg")) is None
+
+
+def test_every_triplet_is_matched_once_a_kind(spark, sf):
+    want = rows(kg(spark, sf).select("h", "r", "t"))
+    for kind in ("hr", "t"):
+        assert rows(QUERIES[f"match_{kind}_whole"](spark, sf).select("h", "r", "t")) == want
+    assert QUERIES["match_counts_whole"](spark, sf).groupBy().sum("n").first()[0] == 3 * len(want)
