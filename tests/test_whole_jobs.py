@@ -1,6 +1,9 @@
 """Jobs done whole: no set, triplet, head or length is left out."""
 
+from collections import defaultdict
+
 import pytest
+from pyspark.sql import functions as F
 
 from spindrel.operators import ragged as R
 from spindrel.plans.catalog import QUERIES, SQL
@@ -35,3 +38,34 @@ def test_every_triplet_is_matched_once_a_kind(spark, sf):
     for kind in ("hr", "t"):
         assert rows(QUERIES[f"match_{kind}_whole"](spark, sf).select("h", "r", "t")) == want
     assert QUERIES["match_counts_whole"](spark, sf).groupBy().sum("n").first()[0] == 3 * len(want)
+
+
+@pytest.mark.parametrize("name,cuts", [("strict_negative", {" WHERE h % 40 = 3": "", "kg.h % 40 = 3 AND ": ""}), ("neural_lp_walk", {" WHERE h < 5": ""})])
+def test_every_triplet_and_head_is_drawn_and_walked_for(spark, sf, name, cuts):
+    """The SQL of the part without its condition gives the same rows."""
+    text = SQL[name]
+    for cut, put in cuts.items():
+        assert cut in text
+        text = text.replace(cut, put)
+    assert differences(QUERIES[f"{name}_whole"](spark, sf), duck(sf), text) is None
+
+
+def test_beams_start_at_every_head_over_every_edge(spark, sf):
+    got = {(q, n): p for q, n, p in QUERIES["beam_search"](spark, sf).select("query", "state", "score").collect()}
+    edges = defaultdict(list)
+    k = [tuple(r) for r in kg(spark, sf).select("h", "t", F.log("weight")).collect()]
+    for h, t, w in k:
+        edges[h].append((t, w))
+        edges[t].append((h, w))
+    want = {}
+    for q in {h for h, _, _ in k}:
+        beam = {q: 0.0}
+        for _ in range(3):
+            best = {}
+            for n, p in beam.items():
+                for t, w in edges[n]:
+                    out = want if t % 5 == 0 else best
+                    key = (q, t) if t % 5 == 0 else t
+                    out[key] = max(out.get(key, p + w), p + w)
+            beam = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])
+    assert got == {k: pytest.approx(p, abs=2e-6) for k, p in want.items()}
