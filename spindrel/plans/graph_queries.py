@@ -132,6 +132,14 @@ def _(s, d):
     return g.get_edges(q).select(E)
 
 
+@query("get_edge_whole", sql("WITH $pe, q AS (SELECT graph_id, node_in, node_out FROM pe UNION ALL SELECT graph_id, node_out, node_in FROM pe) SELECT q.*, coalesce(weight, 0) AS weight FROM q LEFT JOIN pe USING (graph_id, node_in, node_out)"))
+def _(s, d):
+    # Every edge, and as many absent ones: no edge leads from a supplier to a customer.
+    g = pg(s, d)
+    q = g.edges.select("graph_id", "node_in", "node_out")
+    return g.get_edges(q.unionByName(q.select("graph_id", F.col("node_out").alias("node_in"), F.col("node_in").alias("node_out")))).select(E)
+
+
 @query("repeat_tile", sql("WITH $pn, $pe, m AS (SELECT graph_id, row_number() OVER (ORDER BY graph_id) - 1 AS k, count(*) OVER () AS b FROM (SELECT DISTINCT graph_id FROM pn)) SELECT c.range * b + k AS graph_id, node_in, node_out, weight FROM pe JOIN m USING (graph_id), range(3) c"))
 def _(s, d):
     return pg(s, d).repeat(3).edges.select(E)
@@ -176,6 +184,12 @@ def _(s, d):
     return small(s, d).full(2)
 
 
+@query("full_graph_whole", sql("WITH $chain SELECT a.graph_id, a.pos AS node_in, b.pos AS node_out, r AS relation FROM chain a JOIN chain b USING (graph_id), range(2) g(r)"))
+def _(s, d):
+    n = chain(s, d).withColumnRenamed("pos", "node_id")
+    return G.Graphs(n, n.select("graph_id")).full(2)
+
+
 @query("line_graph", sql("WITH $chain, e AS (SELECT graph_id, pos AS edge_id, residue_type % 5 AS node_in, q::bigint % 5 AS node_out FROM chain) SELECT a.graph_id, a.edge_id AS edge_a, b.edge_id AS edge_b FROM e a JOIN e b ON a.graph_id = b.graph_id AND a.node_out = b.node_in"))
 def _(s, d):
     e = chain(s, d).select("graph_id", F.col("pos").alias("edge_id"), (F.col("residue_type") % 5).alias("node_in"), (F.col("q").cast("long") % 5).alias("node_out"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrel.operators import ragged as R
 from spindrel.plans.catalog import QUERIES, SQL
 from spindrel.plans.compare import differences, duck
-from spindrel.plans.views import kg
+from spindrel.plans.views import chain, kg, pg_edges
 
 
 def rows(df):
@@ -69,3 +69,14 @@ def test_beams_start_at_every_head_over_every_edge(spark, sf):
                     out[key] = max(out.get(key, p + w), p + w)
             beam = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])
     assert got == {k: pytest.approx(p, abs=2e-6) for k, p in want.items()}
+
+
+def test_every_edge_and_as_many_absent_ones_are_asked_for(spark, sf):
+    n = pg_edges(spark, sf).count()
+    got = [r.weight for r in QUERIES["get_edge_whole"](spark, sf).collect()]
+    assert len(got) == 2 * n and sum(w > 0 for w in got) == n
+
+
+def test_all_nodes_of_every_chain_are_paired(spark, sf):
+    n = chain(spark, sf).groupBy("graph_id").count().selectExpr("sum(2 * count * count)").first()[0]
+    assert QUERIES["full_graph_whole"](spark, sf).count() == n
