@@ -36,11 +36,10 @@ def difference(new: DataFrame, old: DataFrame, keys: list[str], value: str) -> D
 
 def snake_prefixes(sizes: DataFrame, most: int) -> DataFrame:
     """``(set_id, length, unroll)``: lengths of adjacency matrices read shell by shell that end in the lower triangle, with at most
-    ``most`` entries of their shell left."""
-    k = sizes.where("size > 0").select("set_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") * F.col("size") - 1)).alias("length"))
-    i = F.floor(F.sqrt(F.col("length")))
-    left = (i + 1) * (i + 1) - 1 - F.col("length")
-    return k.where((F.col("length") >= i * i + i) & (left <= most)).select("set_id", "length", left.cast("long").alias("unroll"))
+    ``most`` entries of their shell left. Only those are generated, at most ``most + 1`` a shell."""
+    shells = sizes.where("size > 0").select("set_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("i"))
+    k = shells.select("set_id", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("i"), F.lit(most).cast("long")))).alias("unroll"))
+    return k.select("set_id", ((F.col("i") + 1) * (F.col("i") + 1) - 1 - F.col("unroll")).alias("length"), "unroll")
 
 
 def matrix_messages(edges: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:

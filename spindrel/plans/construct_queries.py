@@ -42,6 +42,11 @@ def _(s, d):
     return K.snake_prefixes(R.sizes_of(sets(s, d)).withColumn("size", F.least("size", F.lit(5))), 2)
 
 
+@query("snake_prefixes_whole", sql("WITH $sets, n AS (SELECT set_id, count(*) AS n FROM sets GROUP BY 1), k AS (SELECT set_id, unnest(range(n * n)) AS length FROM n), i AS (SELECT *, floor(sqrt(length))::bigint AS i FROM k) SELECT set_id, length, (i + 1) * (i + 1) - 1 - length AS unroll FROM i WHERE length >= i * i + i AND (i + 1) * (i + 1) - 1 - length <= 2"))
+def _(s, d):
+    return K.snake_prefixes(R.sizes_of(sets(s, d)), 2)
+
+
 @query("mpnn_messages", sql("WITH $pn, $pe, x AS (SELECT graph_id, node_id, value / 1000 AS a, value / 2000 + 1 AS b FROM pn), m AS (SELECT pe.graph_id, node_out AS node_id, sum(weight * a + b) AS y0, sum(-a + 2 * weight * b) AS y1 FROM pe JOIN x ON x.graph_id = pe.graph_id AND x.node_id = node_in GROUP BY 1, 2) SELECT graph_id, node_id, 0::bigint AS place, round(y0, 7) AS y FROM m UNION ALL SELECT graph_id, node_id, 1::bigint, round(y1, 7) FROM m"))
 def _(s, d):
     n = pg_nodes(s, d).select("graph_id", "node_id", F.array(F.col("value") / 1000, F.col("value") / 2000 + 1).alias("v"))

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from spindrel.operators import construct as K
 from spindrel.operators import ragged as R
 from spindrel.plans.catalog import QUERIES, SQL
 from spindrel.plans.compare import differences, duck
@@ -80,3 +81,9 @@ def test_every_edge_and_as_many_absent_ones_are_asked_for(spark, sf):
 def test_all_nodes_of_every_chain_are_paired(spark, sf):
     n = chain(spark, sf).groupBy("graph_id").count().selectExpr("sum(2 * count * count)").first()[0]
     assert QUERIES["full_graph_whole"](spark, sf).count() == n
+
+
+def test_prefixes_of_sets_beyond_five(spark, sf):
+    got = rows(K.snake_prefixes(spark.createDataFrame([(1, 7)], "set_id long, size long"), 1))
+    assert got == [(1, i * i - 1 - u, u) for i in range(1, 8) for u in (1, 0) if u < i]
+    assert QUERIES["snake_prefixes_whole"](spark, sf).where("length >= 25").count() > 0
