@@ -21,21 +21,19 @@ from pyspark.sql import functions as F
 
 from spindrel.llm.page_text import fold, segments
 
-#: Words of a passage that make a leak, words of a stretch of the automaton, lines of a page that may be passed over, and letters
-#: that tell that a passage goes on behind them.
-LEAK_WORDS, SEED_WORDS, APART, SURE = 16, 5, 14, 9
-#: Places a stretch may have in the passages; more make it a common phrase, which other stretches of a leak stand in for.
-SEED_PASSAGES = 3
+#: Words of a passage that make a leak, words of a stretch of the automaton, and letters that tell that a passage goes on behind
+#: lines passed over: up to ``NEAR`` lines, and more lines than that, where chance has more places to read alike.
+LEAK_WORDS, SEED_WORDS, SURE, NEAR, SURE_FAR = 16, 5, 9, 14, 20
 #: Passages an automaton is built for: it is sent to every task, so a larger test set must come in several calls.
 MOST_ITEMS = 50_000
 
 
 class Passage:
-    """A passage as folded words, forwards and backwards."""
+    """A passage as folded words, forwards and backwards, with all items that have these words."""
 
-    def __init__(self, item: int, text: str) -> None:
-        self.item = item
-        self.words = [w for w in (fold(x) for x in re.split(r"\s+", text)) if w]
+    def __init__(self, words: tuple[str, ...]) -> None:
+        self.items: list[int] = []
+        self.words = words
         self.reversed = [w[::-1] for w in reversed(self.words)]
 
 
@@ -43,7 +41,11 @@ class LeakFinder:
     """The automaton and the check of what it hits; built once a task."""
 
     def __init__(self, items: Sequence[tuple[int, str]], leak_words: int = LEAK_WORDS) -> None:
-        self.passages = [Passage(i, t) for i, t in items if t]
+        same: dict[tuple[str, ...], Passage] = {}
+        for i, t in items:
+            words = tuple(w for w in (fold(x) for x in re.split(r"\s+", t or "")) if w)
+            same.setdefault(words, Passage(words)).items.append(i)
+        self.passages = list(same.values())
         self.leak_words = leak_words
         seeds: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
         for k, p in enumerate(self.passages):
@@ -51,8 +53,7 @@ class LeakFinder:
                 seeds["".join(p.words[w : w + SEED_WORDS])].append((k, w, w + SEED_WORDS))
         self.automaton = ahocorasick.Automaton()
         for s, at in seeds.items():
-            if len(at) <= SEED_PASSAGES:
-                self.automaton.add_word(s, (len(s), at))
+            self.automaton.add_word(s, (len(s), at))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -91,13 +92,14 @@ class LeakFinder:
         out = []
         for k, (found, lo, hi) in best.items():
             if found >= self.leak_words:
-                out.append((self.passages[k].item, found, min(a for a, _ in parts[lo : hi + 1]), max(b for _, b in parts[lo : hi + 1])))
+                start, end = min(a for a, _ in parts[lo : hi + 1]), max(b for _, b in parts[lo : hi + 1])
+                out += [(i, found, start, end) for i in self.passages[k].items]
         return out
 
 
-def follow(lines: list[str], n: int, at: int, words: list[str], w: int) -> tuple[int, int, int]:
+def follow(lines: list[str], n: int, at: int, words: Sequence[str], w: int) -> tuple[int, int, int]:
     """How many of ``words`` from the ``w``-th on go on at place ``at`` of line ``n``, with the line and place where they end. Words
-    broken at a line's end are joined; lines that don't go on are passed over, ``APART`` at most."""
+    broken at a line's end are joined; lines that don't go on are passed over, however many; see ``SURE``."""
     start = w
     while w < len(words):
         word, line = words[w], lines[n]
@@ -116,7 +118,7 @@ def follow(lines: list[str], n: int, at: int, words: list[str], w: int) -> tuple
             at += size
             w += 1
             continue
-        for m in range(n + 1, min(n + 1 + APART, len(lines))):
+        for m in range(n + 1, len(lines)):
             both = rest + lines[m]
             size, v = 0, w
             while v < len(words) and size < len(rest) + SURE:
@@ -126,7 +128,8 @@ def follow(lines: list[str], n: int, at: int, words: list[str], w: int) -> tuple
                 size += more
                 v += 1
             short = v == len(words) or size + len(words[v]) > len(both)
-            if v > w and size > len(rest) and (size >= len(rest) + SURE or short and size >= min(len(both), SURE)):
+            sure = v > w and size > len(rest) and (size >= len(rest) + SURE or short and size >= min(len(both), SURE))
+            if sure and (m <= n + NEAR or goes_on(rest, lines[m : m + 3], words, w)):
                 n, at, w = m, size - len(rest), v
                 break
         else:
@@ -134,6 +137,17 @@ def follow(lines: list[str], n: int, at: int, words: list[str], w: int) -> tuple
     return w - start, n, at
 
 
+def goes_on(rest: str, lines: list[str], words: Sequence[str], w: int) -> bool:
+    """Whether ``words`` from the ``w``-th on are in ``rest`` and ``SURE_FAR`` letters of the lines after it."""
+    both, size = rest + "".join(lines), 0
+    while w < len(words) and size < len(rest) + SURE_FAR:
+        more = alike(both, size, words[w])
+        if more is None:
+            return False
+        size, w = size + more, w + 1
+    return size >= len(rest) + SURE_FAR
+
+
 def alike(text: str, at: int, word: str, most: int | None = None) -> int | None:
     """Letters of ``text`` from ``at`` that read like ``word``: the same, or a few of them changed, missing or added (``most``; a
     letter in four, one in words of three to seven). None if it goes on with something else."""
