@@ -46,7 +46,7 @@ def with_vectors(triplets: DataFrame, entities: DataFrame, relations: DataFrame)
     """``triplets (h, r, t)`` with the vectors of entities ``(id, v)`` and of the few relations ``(id, v)``."""
     e = entities.select(F.col("id").alias("h"), F.col("v").alias("vh"))
     f = entities.select(F.col("id").alias("t"), F.col("v").alias("vt"))
-    return triplets.join(e, "h").join(f, "t").join(F.broadcast(relations.select(F.col("id").alias("r"), F.col("v").alias("vr"))), "r")
+    return triplets.join(e, "h").join(f, "t").join(maybe_broadcast(relations.select(F.col("id").alias("r"), F.col("v").alias("vr"))), "r")
 
 
 def one_hot(i: Column, n: int, allow_unknown: bool = False) -> Column:
@@ -63,8 +63,8 @@ def shifted_softplus(x: Column) -> Column:
 
 
 def clipped_objective(policy: Column, agent: Column, reward: Column, eps: float = 0.2) -> Column:
-    """The smaller of the reward times the ratio of two log-likelihoods and the same with the ratio clipped."""
-    ratio = F.exp(F.least(F.greatest(policy - agent, F.lit(-10.0)), F.lit(10.0)))
+    """The smaller of the reward times the ratio of two likelihoods, at most 10, and the same with the ratio clipped to 1 ± ``eps``."""
+    ratio = F.least(F.exp(policy - agent), F.lit(10.0))
     return F.least(ratio * reward, F.least(F.greatest(ratio, F.lit(1 - eps)), F.lit(1 + eps)) * reward)
 
 

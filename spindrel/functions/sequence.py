@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# How many of the 61 sense codons stand for each residue, in the order of the one-letter codes A R N D C Q E G H I L K M F P S T W Y V.
-CODONS = (4, 6, 2, 2, 2, 2, 2, 4, 2, 3, 6, 2, 1, 2, 4, 6, 4, 1, 2, 4)
+# Residues by their id, and how many of the 61 sense codons stand for each.
+RESIDUES = "GASPVTCILNDQKEMHFRYW"
+CODONS = {"A": 4, "C": 2, "D": 2, "E": 2, "F": 2, "G": 4, "H": 2, "I": 3, "K": 2, "L": 6, "M": 1, "N": 2, "P": 4, "Q": 2, "R": 6, "S": 6, "T": 4, "V": 4, "W": 1, "Y": 2}
 
 
-def dipeptide_deviation(chain: DataFrame) -> DataFrame:
-    """``(graph_id, a, b, dde)`` for the pairs that occur: their share less the one the code expects, over its deviation. Pairs
-    that don't occur have the share 0 in the same formula (:func:`dde_of`)."""
+def dipeptide_deviation(chain: DataFrame, occurring: bool = False) -> DataFrame:
+    """``(graph_id, a, b, dde)`` for all 400 pairs of residues of each chain of two or more: the share of a pair among its neighbours
+    (0 for those that don't occur) less the one the code expects, over its deviation. With ``occurring`` only pairs that occur."""
     w = Window.partitionBy("graph_id").orderBy("pos")
     pairs = chain.select("graph_id", F.col("residue_type").alias("a"), F.lead("residue_type").over(w).alias("b")).where("b is not null")
-    n = pairs.groupBy("graph_id", "a", "b").agg(F.count("*").alias("k"))
-    total = pairs.groupBy("graph_id").agg(F.count("*").alias("n"))
-    return n.join(total, "graph_id").select("graph_id", "a", "b", dde_of(F.col("k") / F.col("n"), F.col("n"), F.col("a"), F.col("b")).alias("dde"))
+    if occurring:
+        n = pairs.groupBy("graph_id", "a", "b").agg(F.count("*").alias("k"))
+        total = n.groupBy("graph_id").agg(F.sum("k").alias("n"))
+        return n.join(total, "graph_id").select("graph_id", "a", "b", dde_of(F.col("k") / F.col("n"), F.col("n"), F.col("a"), F.col("b")).alias("dde"))
+    cell = (F.col("a") * len(RESIDUES) + F.col("b")).cast("int")
+    k = pairs.groupBy("graph_id", cell.alias("cell")).agg(F.count("*").alias("k")).groupBy("graph_id")
+    found = k.agg(F.sum("k").alias("n"), F.map_from_entries(F.collect_list(F.struct("cell", "k"))).alias("ks"))  # 400 entries at most
+    grid = found.select("graph_id", "n", "ks", F.explode(F.sequence(F.lit(0), F.lit(len(RESIDUES) ** 2 - 1))).alias("cell"))
+    a, b = F.floor(F.col("cell") / len(RESIDUES)), (F.col("cell") % len(RESIDUES)).cast("long")
+    share = F.coalesce(F.try_element_at("ks", F.col("cell")), F.lit(0)) / F.col("n")
+    return grid.select("graph_id", a.alias("a"), b.alias("b"), dde_of(share, F.col("n"), a, b).alias("dde"))
 
 
 def dde_of(share: Column, n: Column, a: Column, b: Column) -> Column:
-    c = F.array(*[F.lit(x) for x in CODONS])
+    c = F.array(*[F.lit(CODONS[x]) for x in RESIDUES])
     mean = (F.element_at(c, a.cast("int") + 1) * F.element_at(c, b.cast("int") + 1)) / (61.0 * 61.0)
     return (share - mean) / F.sqrt(mean * (1 - mean) / n)
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrel.operators.ragged import key_of
 from spindrel.session import dropped, written
 
 
@@ -38,11 +39,13 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return nodes.select("id").distinct().join(out, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def hops(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """``(graph_id, node_id, hops)`` from ``roots (graph_id, node_id)`` along edges, up to ``most`` of them."""
+def hops(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """``(graph_id, node_id, hops)`` from ``roots (graph_id, node_id)`` along edges, up to ``most`` of them, or as far as they lead."""
     seen = frontier = roots.select("graph_id", "node_id").distinct().withColumn("hops", F.lit(0).cast("long"))
     e = edges.select("graph_id", F.col("node_in").alias("node_id"), "node_out")
-    for i in range(1, most + 1):
+    i = 0
+    while most is None or i < most:
+        i += 1
         nxt = frontier.join(e, ["graph_id", "node_id"]).select("graph_id", F.col("node_out").alias("node_id")).distinct()
         frontier = written(nxt.join(seen.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti").withColumn("hops", F.lit(i).cast("long")), "frontier")
         if frontier.isEmpty():
@@ -62,10 +65,12 @@ def context(edges: DataFrame, roots: DataFrame, k: int, r1: int, r2: int) -> Dat
     return sub.unionByName(con).unionByName(anchor).join(live, "graph_id", "left_semi")
 
 
-def bfs_order(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
-    """``(graph_id, node_id, place)``: nodes by hops from the root, then id; those not reached are left out."""
-    h = hops(edges, roots, most)
-    return h.select("graph_id", "node_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("hops", "node_id")) - 1).cast("long").alias("place"))
+def bfs_order(edges: DataFrame, roots: DataFrame, seed: int | None = None) -> DataFrame:
+    """``(graph_id, node_id, place)``: nodes by hops from the root, then id, or with a ``seed`` in a repeatable random order within
+    a hop; those not reached are left out, however far the others are."""
+    h = hops(edges, roots)
+    tie = [key_of(F.lit(seed), F.col("graph_id"), F.col("node_id"))] if seed is not None else []
+    return h.select("graph_id", "node_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("hops", *tie, "node_id")) - 1).cast("long").alias("place"))
 
 
 def relational_walk(edges: DataFrame, heads: DataFrame, weights: list[list[float]]) -> DataFrame:

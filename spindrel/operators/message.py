@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrel.functions.vectors import dot, matvec, rounded, total
+from spindrel.session import maybe_broadcast
 
 AGGREGATES = {"add": F.sum, "min": F.min, "max": F.max, "mean": F.avg}
 #: What an empty row of a semiring product holds.
@@ -36,7 +37,7 @@ def spmm(edges: DataFrame, x: DataFrame, add: str = "add", mul: str = "mul", key
 def rspmm(edges: DataFrame, relation: DataFrame, x: DataFrame, add: str = "add", mul: str = "mul") -> DataFrame:
     """``out[node] = add of weight * mul(rel[relation], x[other])`` over ``edges (node_in, node_out, relation, weight)``;
     ``relation (relation, w)``."""
-    m = edges.join(F.broadcast(relation), "relation").join(x.withColumnRenamed("node_id", "node_out"), "node_out")
+    m = edges.join(maybe_broadcast(relation), "relation").join(x.withColumnRenamed("node_id", "node_out"), "node_out")
     out = m.groupBy(F.col("node_in").alias("node_id")).agg(AGGREGATES[add](F.col("weight") * _pair(mul, F.col("w"), F.col("x"))).alias("y"))
     return x.select("node_id").join(out, "node_id", "left").fillna(EMPTY[add], ["y"])
 
@@ -56,7 +57,7 @@ def attention_readout(nodes: DataFrame, weights: list[float], bias: float = 0.0,
     """Sum of vectors weighted by the softmax of their product with ``weights``: ``(by, place, y)``."""
     s = nodes.withColumn("_s", dot(F.col("v"), F.array(*[F.lit(float(w)) for w in weights])) + bias)
     top = s.groupBy(by).agg(F.max("_s").alias("_m"))
-    e = s.join(F.broadcast(top), by).withColumn("_e", F.exp(F.col("_s") - F.col("_m")))
+    e = s.join(top, by).withColumn("_e", F.exp(F.col("_s") - F.col("_m")))
     rows = e.select(by, "_e", F.posexplode("v").alias("place", "x"))
     return rows.groupBy(by, "place").agg((F.sum(F.col("_e") * F.col("x")) / F.sum("_e")).alias("y"))
 
@@ -115,9 +116,11 @@ def relational(edges: DataFrame, nodes: DataFrame, how: str = "mean") -> DataFra
 
 
 def attention(edges: DataFrame, nodes: DataFrame, a: float, b: float, slope: float = 0.2) -> DataFrame:
-    """Mean over incoming edges weighted by exp of the leaky score ``a * x[to] + b * x[from]``, shifted by each node's largest."""
+    """Mean over incoming edges and a loop of weight 1, weighted by exp of the leaky score ``a * x[to] + b * x[from]``, shifted by each
+    node's largest. Every node has a row, those without edges their own ``x``. For several heads, call it for each."""
     x = nodes.select("graph_id", "node_id", "x")
-    m = edges.join(x.toDF("graph_id", "node_in", "xi"), ["graph_id", "node_in"]).join(x.toDF("graph_id", "node_out", "xo"), ["graph_id", "node_out"])
+    loops = nodes.select("graph_id", F.col("node_id").alias("node_in"), F.col("node_id").alias("node_out"), F.lit(1.0).alias("weight"))
+    m = edges.select("graph_id", "node_in", "node_out", "weight").unionByName(loops).join(x.toDF("graph_id", "node_in", "xi"), ["graph_id", "node_in"]).join(x.toDF("graph_id", "node_out", "xo"), ["graph_id", "node_out"])
     s = F.lit(a) * F.col("xo") + F.lit(b) * F.col("xi")
     m = m.withColumn("s", F.when(s > 0, s).otherwise(slope * s))
     top = m.groupBy("graph_id", "node_out").agg(F.max("s").alias("m"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrel.operators.ordered import running
 from spindrel.operators.ragged import key_of
+from spindrel.session import maybe_broadcast
 
 TWO32 = 4294967296.0
 
@@ -23,26 +24,26 @@ def weighted_sample(df: DataFrame, weight: Column, n: int, seed: int, *ids: Colu
 
 
 def node_sample(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Nodes drawn by the squared weight that reaches them, and the edges among them, weights divided by ``n p / N``."""
+    """Nodes drawn by the squared weight that reaches them (its share of all is ``p``), and the edges among them, weights divided by
+    ``n p``, so that sums over the sample are unbiased."""
     p = edges.groupBy(F.col("node_out").alias("node_id")).agg(F.sum(F.col("weight") * F.col("weight")).alias("p"))
     total = p.agg(F.sum("p").alias("s"))
     p = p.crossJoin(F.broadcast(total)).select("node_id", (F.col("p") / F.col("s")).alias("p"))
     kept = weighted_sample(nodes.select("node_id").join(p, "node_id"), F.col("p"), n, seed, F.col("node_id"))
-    count = nodes.count()
     k = kept.select("node_id", "p")
     e = edges.join(k.select(F.col("node_id").alias("node_in")), "node_in", "left_semi").join(k.select(F.col("node_id").alias("node_out"), "p"), "node_out")
-    return kept.select("node_id"), e.select("node_in", "node_out", (F.col("weight") / (n * F.col("p") / count)).alias("weight"))
+    return kept.select("node_id"), e.select("node_in", "node_out", (F.col("weight") / (n * F.col("p"))).alias("weight"))
 
 
 def edge_sample(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Edges drawn by the sum of the inverse degrees of their ends, weights divided by ``n p / E``."""
+    """Edges drawn by the sum of the inverse degrees of their ends (its share of all is ``p``), weights divided by ``n p``."""
     a = edges.groupBy("node_in").agg(F.sum("weight").alias("da"))
     b = edges.groupBy("node_out").agg(F.sum("weight").alias("db"))
     p = edges.join(a, "node_in").join(b, "node_out").withColumn("p", 1 / F.col("da") + 1 / F.col("db"))
-    stats = p.agg(F.sum("p").alias("s"), F.count("*").alias("m"))
+    stats = p.agg(F.sum("p").alias("s"))
     p = p.crossJoin(F.broadcast(stats)).withColumn("p", F.col("p") / F.col("s"))
     kept = weighted_sample(p, F.col("p"), n, seed, F.col("node_in"), F.col("node_out"))
-    return kept.select("node_in", "node_out", (F.col("weight") / (n * F.col("p") / F.col("m"))).alias("weight"))
+    return kept.select("node_in", "node_out", (F.col("weight") / (n * F.col("p"))).alias("weight"))
 
 
 def strict_negatives(triplets: DataFrame, facts: DataFrame, entities: int, draws: int, seed: int = 0) -> DataFrame:
@@ -74,27 +75,29 @@ def key_split(df: DataFrame, key: str, shares: list[float], seed: int = 0) -> Da
 
 
 def ordered_group_split(df: DataFrame, group: str, index: str, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
-    """``df`` with ``part``: groups largest first (then latest first row) to train while they fit, else to valid, else to test.
+    """``df`` with ``part``: groups largest first (then latest first row) to train while train stays within its share, else to valid
+    while train and valid together stay within theirs, else to test.
 
-    Groups of one size are alike, so only the sizes and how many groups have each reach the driver; a group's part follows from
-    its rank among those of its size.
+    Groups of one size are alike, so only the sizes and how many groups have each reach the driver (fewer than the root of twice the
+    rows); a group's part follows from its rank among those of its size, taken in ranges cut at quantiles, not in one task.
     """
     g = df.groupBy(group).agg(F.count("*").alias("n"), F.min(index).alias("first"))
     total = df.count()
-    cut = [s * total for s in shares]
-    used, plan = [0.0, 0.0], []
+    cut = [shares[0] * total, (shares[0] + shares[1]) * total]
+    used, plan, before = [0, 0], [], 0
     for r in g.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).toLocalIterator():
-        size, left, takes = r["n"], r["m"], []
-        for i in range(2):
-            k = max(0, min(left, int((cut[i] - used[i] + 1e-9) // size)))
-            used[i] += k * size
-            left -= k
-            takes.append(k)
-        plan.append((size, takes[0], takes[0] + takes[1]))
-    p = df.sparkSession.createDataFrame(plan, "n long, a long, b long")
-    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("first")))
+        size, left = r["n"], r["m"]
+        a = max(0, min(left, int((cut[0] - used[0] + 1e-9) // size)))
+        used[0] += a * size
+        b = max(0, min(left - a, int((cut[1] - used[0] - used[1] + 1e-9) // size)))
+        used[1] += b * size
+        plan.append((size, a, a + b, before))
+        before += left
+    p = df.sparkSession.createDataFrame(plan, "n long, a long, b long, before long")
+    ranked = running(g.withColumn("_i", -F.col("first").cast("long")), "n", "_i", {}, descending=True, count="rank")
+    rank = F.col("rank") - F.col("before")
     part = F.when(rank <= F.col("a"), 0).when(rank <= F.col("b"), 1).otherwise(2).cast("long")
-    placed = g.join(F.broadcast(p), "n").withColumn("part", part).select(group, "part")
+    placed = ranked.join(maybe_broadcast(p), "n").withColumn("part", part).select(group, "part")
     return df.join(placed, group)
 
 

@@ -37,12 +37,7 @@ def _(s, d):
     return K.difference(k.where("weight > 20").groupBy("h", "t").agg(F.max("r").alias("r")), k.where("(h + t) % 3 <> 0").groupBy("h", "t").agg(F.min("r").alias("r")), ["h", "t"], "r")
 
 
-@query("snake_prefixes", sql("WITH $sets, n AS (SELECT set_id, least(count(*), 5) AS n FROM sets GROUP BY 1), k AS (SELECT set_id, unnest(range(n * n)) AS length FROM n), i AS (SELECT *, floor(sqrt(length))::bigint AS i FROM k) SELECT set_id, length, (i + 1) * (i + 1) - 1 - length AS unroll FROM i WHERE length >= i * i + i AND (i + 1) * (i + 1) - 1 - length <= 2"))
-def _(s, d):
-    return K.snake_prefixes(R.sizes_of(sets(s, d)).withColumn("size", F.least("size", F.lit(5))), 2)
-
-
-@query("snake_prefixes_whole", sql("WITH $sets, n AS (SELECT set_id, count(*) AS n FROM sets GROUP BY 1), k AS (SELECT set_id, unnest(range(n * n)) AS length FROM n), i AS (SELECT *, floor(sqrt(length))::bigint AS i FROM k) SELECT set_id, length, (i + 1) * (i + 1) - 1 - length AS unroll FROM i WHERE length >= i * i + i AND (i + 1) * (i + 1) - 1 - length <= 2"))
+@query("snake_prefixes", sql("WITH $sets, n AS (SELECT set_id, count(*) AS n FROM sets GROUP BY 1), k AS (SELECT set_id, unnest(range(n * n)) AS length FROM n), i AS (SELECT *, floor(sqrt(length))::bigint AS i FROM k) SELECT set_id, length, (i + 1) * (i + 1) - 1 - length AS unroll FROM i WHERE length >= i * i + i AND (i + 1) * (i + 1) - 1 - length <= 2"))
 def _(s, d):
     return K.snake_prefixes(R.sizes_of(sets(s, d)), 2)
 

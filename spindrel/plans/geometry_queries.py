@@ -59,7 +59,11 @@ def _(s, d):
     return G.edge_angles(e, nodes(s, d), 8).select("graph_id", "edge_a", "edge_b", "bin")
 
 
-@query("dihedral_bin")
+# Differences of neighbours, their cross products, and the angle between those.
+_DIH = "q AS (SELECT *, lead(dx) OVER w AS ex, lead(dy) OVER w AS ey, lead(dz) OVER w AS ez, lead(dx, 2) OVER w AS fx, lead(dy, 2) OVER w AS fy, lead(dz, 2) OVER w AS fz FROM st WINDOW w AS (PARTITION BY graph_id ORDER BY node_id)), u AS (SELECT graph_id, node_id, dy * ez - dz * ey AS ax, dz * ex - dx * ez AS ay, dx * ey - dy * ex AS az, ey * fz - ez * fy AS bx, ez * fx - ex * fz AS cy, ex * fy - ey * fx AS bz FROM q WHERE fx IS NOT NULL)"
+
+
+@query("dihedral_bin", sql(f"WITH $emb, {_N}, {_STEP}, {_DIH} SELECT graph_id, node_id, least(floor(atan2(sqrt(pow(ay * bz - az * cy, 2) + pow(az * bx - ax * bz, 2) + pow(ax * cy - ay * bx, 2)), ax * bx + ay * cy + az * bz) / {math.pi} * 8), 7)::bigint AS bin FROM u"))
 def _(s, d):
     from pyspark.sql import Window
 
@@ -75,12 +79,20 @@ def _(s, d):
     return G.contacts(c, 25.0, 3)
 
 
-_LIST = "[" + ", ".join(map(str, Q.CODONS)) + "]"
+# The codons of residue ids, joined from a table of residues in SQL.
+_CODON = "c AS (SELECT i - 1 AS i, [{}][i] AS n FROM range(1, 21) t(i))".format(", ".join(str(Q.CODONS[x]) for x in Q.RESIDUES))
+_DDE = f"p AS (SELECT graph_id, residue_type AS a, lead(residue_type) OVER (PARTITION BY graph_id ORDER BY pos) AS b FROM chain), k AS (SELECT graph_id, a, b, count(*) AS k FROM p WHERE b IS NOT NULL GROUP BY 1, 2, 3), n AS (SELECT graph_id, sum(k) AS n FROM k GROUP BY 1), {_CODON}, g AS (SELECT x.i AS a, y.i AS b, x.n * y.n / (61.0 * 61.0)::double AS m FROM c x, c y)"
+
+
+@query("dde", sql(f"WITH $chain, {_DDE} SELECT graph_id, a, b, round((k / n - m) / sqrt(m * (1 - m) / n), 5) AS dde FROM k JOIN n USING (graph_id) JOIN g USING (a, b)"))
+def _(s, d):
+    x = Q.dipeptide_deviation(chain(s, d), occurring=True)
+    return x.withColumn("dde", F.round("dde", 5))
 
 
-@query("dde", sql(f"WITH $chain, p AS (SELECT graph_id, residue_type AS a, lead(residue_type) OVER (PARTITION BY graph_id ORDER BY pos) AS b FROM chain), k AS (SELECT graph_id, a, b, count(*) AS k, sum(count(*)) OVER (PARTITION BY graph_id) AS n, {_LIST}[a + 1] * {_LIST}[b + 1] / (61.0 * 61.0)::double AS m FROM p WHERE b IS NOT NULL GROUP BY 1, 2, 3) SELECT graph_id, a, b, round((k / n - m) / sqrt(m * (1 - m) / n), 5) AS dde FROM k"))
+@query("dde_grid", sql(f"WITH $chain, {_DDE} SELECT a, b, round(avg((coalesce(k, 0) / n - m) / sqrt(m * (1 - m) / n)), 5) AS dde, count(*) AS n FROM n CROSS JOIN g LEFT JOIN k USING (graph_id, a, b) GROUP BY 1, 2"))
 def _(s, d):
-    return Q.dipeptide_deviation(chain(s, d)).withColumn("dde", F.round("dde", 5))
+    return Q.dipeptide_deviation(chain(s, d)).groupBy("a", "b").agg(F.round(F.avg("dde"), 5).alias("dde"), F.count("*").alias("n"))
 
 
 _LAG = "m AS (SELECT graph_id, pos, value / 10000 AS x, avg(value / 10000) OVER w AS m, var_pop(value / 10000) OVER w AS v, var_samp(value / 10000) OVER w AS vs FROM chain WINDOW w AS (PARTITION BY graph_id)), j AS (SELECT a.*, b.x AS y, b.pos - a.pos AS lag FROM m a JOIN m b ON a.graph_id = b.graph_id AND b.pos - a.pos BETWEEN 1 AND 3)"

@@ -13,13 +13,6 @@ def pg(s, d):
     return G.Graphs(pg_nodes(s, d), pg_edges(s, d))
 
 
-def small(s, d):
-    """The graphs of the first nations' suppliers and customers of one segment: small enough for all pairs."""
-    n = pg_nodes(s, d).where("flag and value > 9500")
-    return G.Graphs(n, pg_edges(s, d))
-
-
-_SMALL = "sn AS (SELECT * FROM pn WHERE flag AND value > 9500)"
 E = ["graph_id", "node_in", "node_out", "weight"]
 
 
@@ -125,14 +118,7 @@ def _(s, d):
     return G.Graphs(g.nodes, g.edges.drop("relation")).adjacency().select("node_in", "node_out", "weight")
 
 
-@query("get_edge", sql("WITH $pn, $pe, q AS (SELECT a.graph_id, a.node_id AS node_in, b.node_id AS node_out FROM pn a JOIN pn b USING (graph_id) WHERE a.flag AND a.value > 9500 AND b.value < -500) SELECT q.*, coalesce(sum(weight), 0) AS weight FROM q LEFT JOIN pe USING (graph_id, node_in, node_out) GROUP BY ALL"))
-def _(s, d):
-    g = pg(s, d)
-    q = g.nodes.where("flag and value > 9500").select("graph_id", F.col("node_id").alias("node_in")).join(g.nodes.where("value < -500").select("graph_id", F.col("node_id").alias("node_out")), "graph_id")
-    return g.get_edges(q).select(E)
-
-
-@query("get_edge_whole", sql("WITH $pe, q AS (SELECT graph_id, node_in, node_out FROM pe UNION ALL SELECT graph_id, node_out, node_in FROM pe) SELECT q.*, coalesce(weight, 0) AS weight FROM q LEFT JOIN pe USING (graph_id, node_in, node_out)"))
+@query("get_edge", sql("WITH $pe, q AS (SELECT graph_id, node_in, node_out FROM pe UNION ALL SELECT graph_id, node_out, node_in FROM pe) SELECT q.*, coalesce(weight, 0) AS weight FROM q LEFT JOIN pe USING (graph_id, node_in, node_out)"))
 def _(s, d):
     # Every edge, and as many absent ones: no edge leads from a supplier to a customer.
     g = pg(s, d)
@@ -179,12 +165,7 @@ def _(s, d):
     return G.absolute_ids(pg(s, d))
 
 
-@query("full_graph", sql(f"WITH $pn, {_SMALL} SELECT a.graph_id, a.node_id AS node_in, b.node_id AS node_out, r AS relation FROM sn a JOIN sn b USING (graph_id), range(2) g(r)"))
-def _(s, d):
-    return small(s, d).full(2)
-
-
-@query("full_graph_whole", sql("WITH $chain SELECT a.graph_id, a.pos AS node_in, b.pos AS node_out, r AS relation FROM chain a JOIN chain b USING (graph_id), range(2) g(r)"))
+@query("full_graph", sql("WITH $chain SELECT a.graph_id, a.pos AS node_in, b.pos AS node_out, r AS relation FROM chain a JOIN chain b USING (graph_id), range(2) g(r)"))
 def _(s, d):
     n = chain(s, d).withColumnRenamed("pos", "node_id")
     return G.Graphs(n, n.select("graph_id")).full(2)
@@ -210,51 +191,39 @@ def _(s, d):
 # -- patterns and lookups over the knowledge graph
 
 
-def _patterns(s, d, *kinds, whole=False):
-    k = kg(s, d) if whole else kg(s, d).where("h % 50 = 3 and t % 10 = 1")
+# The distinct patterns of all triplets. A triplet agrees with one pattern of each kind, so the rows stay linear.
+
+
+def _patterns(k, *kinds):
     x = lambda c: F.lit(-1).cast("long").alias(c)
     out = None
-    for i, kind in enumerate(kinds):
+    for kind in kinds:
         p = k.select(*[F.col(c) if c in kind else x(c) for c in "hrt"]).distinct().withColumn("pattern_id", F.concat_ws(":", F.lit(kind), "h", "r", "t"))
         out = p if out is None else out.unionByName(p)
     return out
 
 
-_PAT = "k AS (SELECT * FROM kg WHERE h % 50 = 3 AND t % 10 = 1)"
 _ON = {c: f"kg.{c} = p.{c}" for c in "hrt"}
 
 
 def _match_sql(kind):
     cols = ", ".join(c if c in kind else f"-1::bigint AS {c}" for c in "hrt")
     on = " AND ".join(_ON[c] for c in kind)
-    return f"SELECT concat_ws(':', '{kind}', p.h, p.r, p.t) AS pattern_id, kg.h, kg.r, kg.t, kg.weight FROM kg JOIN (SELECT DISTINCT {cols} FROM k) p ON {on}"
+    return f"SELECT concat_ws(':', '{kind}', p.h, p.r, p.t) AS pattern_id, kg.h, kg.r, kg.t, kg.weight FROM kg JOIN (SELECT DISTINCT {cols} FROM kg) p ON {on}"
 
 
 for kind in ("hr", "rt", "h", "t", "hrt", "ht"):
 
-    @query(f"match_{kind}", sql(f"WITH $kg, {_PAT} {_match_sql(kind)}"))
+    @query(f"match_{kind}", sql(f"WITH $kg {_match_sql(kind)}"))
     def _(s, d, kind=kind):
-        return G.match(kg(s, d), _patterns(s, d, kind), kinds=[kind])
+        k = kg(s, d)
+        return G.match(k, _patterns(k, kind), kinds=[kind])
 
 
-@query("match_counts", sql(f"WITH $kg, {_PAT}, m AS ({_match_sql('hr')} UNION ALL {_match_sql('rt')} UNION ALL {_match_sql('t')}) SELECT pattern_id, count(*) AS n FROM m GROUP BY 1"))
+@query("match_counts", sql(f"WITH $kg, m AS ({_match_sql('hr')} UNION ALL {_match_sql('rt')} UNION ALL {_match_sql('t')}) SELECT pattern_id, count(*) AS n FROM m GROUP BY 1"))
 def _(s, d):
-    return G.match(kg(s, d), _patterns(s, d, "hr", "rt", "t"), kinds=["hr", "rt", "t"]).groupBy("pattern_id").agg(F.count("*").alias("n"))
-
-
-# The distinct patterns of all triplets. A triplet agrees with one pattern of each kind, so the rows stay linear.
-_WHOLE = "k AS (SELECT * FROM kg)"
-
-for kind in ("hr", "rt", "h", "t", "hrt", "ht"):
-
-    @query(f"match_{kind}_whole", sql(f"WITH $kg, {_WHOLE} {_match_sql(kind)}"))
-    def _(s, d, kind=kind):
-        return G.match(kg(s, d), _patterns(s, d, kind, whole=True), kinds=[kind])
-
-
-@query("match_counts_whole", sql(f"WITH $kg, {_WHOLE}, m AS ({_match_sql('hr')} UNION ALL {_match_sql('rt')} UNION ALL {_match_sql('t')}) SELECT pattern_id, count(*) AS n FROM m GROUP BY 1"))
-def _(s, d):
-    return G.match(kg(s, d), _patterns(s, d, "hr", "rt", "t", whole=True), kinds=["hr", "rt", "t"]).groupBy("pattern_id").agg(F.count("*").alias("n"))
+    k = kg(s, d)
+    return G.match_counts(k, _patterns(k, "hr", "rt", "t"), kinds=["hr", "rt", "t"])
 
 
 def _pairs(s, d):

@@ -110,7 +110,7 @@ for how, expr in (("mean", "sum(weight * (h % 17 - 8.0)) / sum(weight)"), ("sum"
         return r6(P.relational(*_related(s, d), how))
 
 
-@query("gat_attention", sql(f"WITH $pn, $pe, {_X}, m AS (SELECT pe.*, i.x AS xi, 0.3 * o.x + 0.7 * i.x AS s FROM pe JOIN x i ON i.graph_id = pe.graph_id AND i.node_id = node_in JOIN x o ON o.graph_id = pe.graph_id AND o.node_id = node_out), l AS (SELECT *, CASE WHEN s > 0 THEN s ELSE 0.2 * s END AS z FROM m), e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY graph_id, node_out)) * weight AS e FROM l) SELECT graph_id, node_out AS node_id, round(sum(e * xi) / sum(e), 6) AS y FROM e GROUP BY 1, 2"))
+@query("gat_attention", sql(f"WITH $pn, $pe, {_X}, lp AS (SELECT graph_id, node_in, node_out, weight FROM pe UNION ALL SELECT graph_id, node_id, node_id, 1 FROM x), m AS (SELECT lp.*, i.x AS xi, 0.3 * o.x + 0.7 * i.x AS s FROM lp JOIN x i ON i.graph_id = lp.graph_id AND i.node_id = node_in JOIN x o ON o.graph_id = lp.graph_id AND o.node_id = node_out), l AS (SELECT *, CASE WHEN s > 0 THEN s ELSE 0.2 * s END AS z FROM m), e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY graph_id, node_out)) * weight AS e FROM l) SELECT graph_id, node_out AS node_id, round(sum(e * xi) / sum(e), 6) AS y FROM e GROUP BY 1, 2"))
 def _(s, d):
     return r6(P.attention(pg_edges(s, d), nodes(s, d), 0.3, 0.7))
 
@@ -217,10 +217,10 @@ def _(s, d):
     return nodes(s, d).select("node_id", "graph_id", F.round(C.shifted_softplus(F.col("x")), 6).alias("y"))
 
 
-@query("clipped_policy_objective", sql("WITH $emb SELECT vec_id, round(least(exp(v[1] - v[2]) * v[3], least(greatest(exp(v[1] - v[2]), 0.8), 1.2) * v[3]), 6) AS y FROM emb"))
+@query("clipped_policy_objective", sql("WITH $emb SELECT vec_id, round(least(least(exp(20 * (v[1] - v[2])), 10) * v[3], least(greatest(exp(20 * (v[1] - v[2])), 0.8), 1.2) * v[3]), 6) AS y FROM emb"))
 def _(s, d):
     v = F.col("v")
-    return emb(s, d).select("vec_id", F.round(C.clipped_objective(v[0], v[1], v[2]), 6).alias("y"))
+    return emb(s, d).select("vec_id", F.round(C.clipped_objective(20 * v[0], 20 * v[1], v[2]), 6).alias("y"))
 
 
 @query("gaussian_smearing", sql("WITH $emb SELECT vec_id, " + ", ".join(f"round(exp(-0.5 * pow((v[1] - {-0.3 + 0.15 * i}) / 0.15, 2)), 6) AS y{i}" for i in range(5)) + " FROM emb"))
@@ -261,7 +261,7 @@ def _(s, d):
     from spindrel.operators.graph import lookup
 
     v = s.createDataFrame([("ECONOMY", 0), ("STANDARD", 1), ("PROMO", 2)], "p_type string, y long")
-    return lookup(table(s, d, "part").select("p_partkey", "p_type"), F.broadcast(v), ["p_type"], "y", default=-1).select("p_partkey", "y")
+    return lookup(table(s, d, "part").select("p_partkey", "p_type"), v, ["p_type"], "y", default=-1).select("p_partkey", "y")
 
 
 __all__ = ["rounded"]

@@ -96,27 +96,16 @@ def _padded_text(p):
     return p.select("set_id", text.alias("padded"), F.size(F.filter("mask", lambda x: x)).cast("long").alias("n_real"))
 
 
-@query("variadic_to_padded", sql("WITH $sets SELECT set_id, array_to_string(list_transform(range(6), lambda i: coalesce(list(cast(value AS decimal(12, 2)) ORDER BY pos)[i + 1], 0)::varchar), ',') AS padded, least(count(*), 6) AS n_real FROM sets GROUP BY set_id"))
-def _(s, d):
-    return _padded_text(R.to_padded(sets(s, d), 6))
-
-
-@query("padded_to_variadic", sql("WITH $sets SELECT set_id, pos, value FROM sets WHERE pos < 6"))
-def _(s, d):
-    x = sets(s, d)
-    return R.from_padded(R.to_padded(x, 6), R.sizes_of(x))
-
-
-# The two above keep the width of their SQL; these pad to the largest set and lose no row.
+# Padded to the largest set, so no row is lost.
 _WIDTH = "n AS (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM sets GROUP BY set_id))"
 
 
-@query("variadic_to_padded_whole", sql(f"WITH $sets, {_WIDTH} SELECT set_id, array_to_string(list_transform(range(m), lambda i: coalesce(list(cast(value AS decimal(12, 2)) ORDER BY pos)[i + 1], 0)::varchar), ',') AS padded, count(*) AS n_real FROM sets, n GROUP BY set_id, m"))
+@query("variadic_to_padded", sql(f"WITH $sets, {_WIDTH} SELECT set_id, array_to_string(list_transform(range(m), lambda i: coalesce(list(cast(value AS decimal(12, 2)) ORDER BY pos)[i + 1], 0)::varchar), ',') AS padded, count(*) AS n_real FROM sets, n GROUP BY set_id, m"))
 def _(s, d):
     return _padded_text(R.to_padded(sets(s, d)))
 
 
-@query("padded_to_variadic_whole", sql("WITH $sets SELECT set_id, pos, value FROM sets"))
+@query("padded_to_variadic", sql("WITH $sets SELECT set_id, pos, value FROM sets"))
 def _(s, d):
     x = sets(s, d)
     return R.from_padded(R.to_padded(x), R.sizes_of(x))

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spindrel.functions.smiles import canonical
 from spindrel.operators import iterative as I
 from spindrel.operators import ragged as R
 from spindrel.operators import sampling as S
@@ -34,27 +35,18 @@ def _plain(s, d):
 _K = "k0 AS (SELECT h, t, sum(weight) AS weight FROM kg GROUP BY 1, 2), k AS (SELECT * FROM k0 UNION ALL SELECT t, h, weight FROM k0)"
 
 
-@query("node_sampler", sql(f"WITH $kg, {_K}, {_P}, c AS (SELECT node_id, p FROM n JOIN p USING (node_id) ORDER BY ln({_U.format('5, node_id')}) / p DESC, node_id LIMIT 60) SELECT h AS node_in, t AS node_out, round(weight / (60 * b.p / (SELECT count(*) FROM n)), 6) AS weight FROM k JOIN c a ON a.node_id = h JOIN c b ON b.node_id = t"))
+@query("node_sampler", sql(f"WITH $kg, {_K}, {_P}, c AS (SELECT node_id, p FROM n JOIN p USING (node_id) ORDER BY ln({_U.format('5, node_id')}) / p DESC, node_id LIMIT 60) SELECT h AS node_in, t AS node_out, round(weight / (60 * b.p), 6) AS weight FROM k JOIN c a ON a.node_id = h JOIN c b ON b.node_id = t"))
 def _(s, d):
     e, n = _plain(s, d)
     return S.node_sample(e, n, 60, 5)[1].withColumn("weight", F.round("weight", 6))
 
 
-@query("edge_sampler", sql(f"WITH $kg, {_K}, a AS (SELECT h, sum(weight) AS da FROM k GROUP BY 1), b AS (SELECT t, sum(weight) AS db FROM k GROUP BY 1), q AS (SELECT *, 1 / da + 1 / db AS q FROM k JOIN a USING (h) JOIN b USING (t)), p AS (SELECT h, t, weight, q / sum(q) OVER () AS p, count(*) OVER () AS m FROM q) SELECT h AS node_in, t AS node_out, round(weight / (80 * p / m) / 1000, 3) AS weight FROM p ORDER BY ln({_U.format('6, h, t')}) / p DESC, h, t LIMIT 80"))
+@query("edge_sampler", sql(f"WITH $kg, {_K}, a AS (SELECT h, sum(weight) AS da FROM k GROUP BY 1), b AS (SELECT t, sum(weight) AS db FROM k GROUP BY 1), q AS (SELECT *, 1 / da + 1 / db AS q FROM k JOIN a USING (h) JOIN b USING (t)), p AS (SELECT h, t, weight, q / sum(q) OVER () AS p FROM q) SELECT h AS node_in, t AS node_out, round(weight / (80 * p), 4) AS weight FROM p ORDER BY ln({_U.format('6, h, t')}) / p DESC, h, t LIMIT 80"))
 def _(s, d):
-    return S.edge_sample(_plain(s, d)[0], 80, 6).withColumn("weight", F.round(F.col("weight") / 1000, 3))
+    return S.edge_sample(_plain(s, d)[0], 80, 6).withColumn("weight", F.round("weight", 4))
 
 
-@query("strict_negative", sql(f"WITH $kg, ent AS (SELECT unnest(range((SELECT max(t) + 1 FROM kg))) AS e), free AS (SELECT hr.h, hr.r, e, row_number() OVER (PARTITION BY hr.h, hr.r ORDER BY e) - 1 AS place, count(*) OVER (PARTITION BY hr.h, hr.r) AS n FROM (SELECT DISTINCT h, r FROM kg WHERE h % 40 = 3) hr, ent WHERE NOT EXISTS (SELECT 1 FROM kg k WHERE k.h = hr.h AND k.r = hr.r AND k.t = e)) SELECT kg.h, kg.r, kg.t, g.range AS draw, free.e AS negative FROM kg, range(2) g, free WHERE kg.h % 40 = 3 AND free.h = kg.h AND free.r = kg.r AND free.place = {_KEY.format('9, kg.h, kg.r, kg.t, g.range')} % free.n"))
-def _(s, d):
-    k = kg(s, d)
-    n = k.agg(F.max("t")).first()[0] + 1
-    return S.strict_negatives(k.where("h % 40 = 3"), k, n, 2, 9)
-
-
-# The two of these that end in _whole have no SQL: DuckDB can't list what is free for every head and relation, nor walk from every
-# head; the tests run the SQL of the parts without its condition on the smallest tables.
-@query("strict_negative_whole")
+@query("strict_negative", sql(f"WITH $kg, ent AS (SELECT unnest(range((SELECT max(t) + 1 FROM kg))) AS e), free AS (SELECT hr.h, hr.r, e, row_number() OVER (PARTITION BY hr.h, hr.r ORDER BY e) - 1 AS place, count(*) OVER (PARTITION BY hr.h, hr.r) AS n FROM (SELECT DISTINCT h, r FROM kg) hr, ent WHERE NOT EXISTS (SELECT 1 FROM kg k WHERE k.h = hr.h AND k.r = hr.r AND k.t = e)) SELECT kg.h, kg.r, kg.t, g.range AS draw, free.e AS negative FROM kg, range(2) g, free WHERE free.h = kg.h AND free.r = kg.r AND free.place = {_KEY.format('9, kg.h, kg.r, kg.t, g.range')} % free.n"))
 def _(s, d):
     k = kg(s, d)
     return S.strict_negatives(k, k, k.agg(F.max("t")).first()[0] + 1, 2, 9)
@@ -65,7 +57,7 @@ def _(s, d):
     return S.key_split(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", [0.8, 0.1, 0.1], 4).select("o_orderkey", "part")
 
 
-@query("ordered_group_split")
+@query("ordered_group_split", "WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1), o AS (SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, f DESC) AS k FROM g), t AS (SELECT count(*) AS m FROM orders), w(k, a, b, part) AS (SELECT 0::bigint, 0::bigint, 0::bigint, -1::bigint UNION ALL SELECT o.k, (a + CASE WHEN a + n <= 0.8 * m THEN n ELSE 0 END)::bigint, (b + CASE WHEN a + n > 0.8 * m AND a + b + n <= 0.9 * m THEN n ELSE 0 END)::bigint, (CASE WHEN a + n <= 0.8 * m THEN 0 WHEN a + b + n <= 0.9 * m THEN 1 ELSE 2 END)::bigint FROM w JOIN o ON o.k = w.k + 1, t) SELECT o_orderkey, part FROM orders JOIN o USING (o_custkey) JOIN w USING (k)")
 def _(s, d):
     return S.ordered_group_split(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey").select("o_orderkey", "part")
 
@@ -110,7 +102,7 @@ def _pg_links(s, d):
 
 
 
-@query("connected_components")
+@query("connected_components", sql("WITH RECURSIVE $pe, u AS (SELECT node_in AS i, node_out AS o FROM pe UNION SELECT node_out, node_in FROM pe), c(id, r) AS (SELECT DISTINCT i, i FROM u UNION SELECT u.o, c.r FROM c JOIN u ON u.i = c.id) SELECT id, min(r) AS component FROM c GROUP BY 1"))
 def _(s, d):
     return I.components(_pg_links(s, d))
 
@@ -153,21 +145,15 @@ def _(s, d):
     return I.bfs_order(_tree(s, d), _root(s))
 
 
-def _walk(s, d, heads):
-    k = kg(s, d).select(F.col("h").alias("node_in"), F.col("r").alias("relation"), F.col("t").alias("node_out"), "weight")
-    both = k.unionByName(k.select(F.col("node_out").alias("node_in"), "relation", F.col("node_in").alias("node_out"), "weight"))
-    start = k.where(heads).select(F.col("node_in").alias("query"), F.col("node_in").alias("node_id")).distinct()
-    return I.relational_walk(both, start, [[0.5, 0.1, 0.2, 0.1, 0.1], [0.1, 0.4, 0.2, 0.2, 0.1]]).withColumn("p", F.round("p", 8))
-
-
-@query("neural_lp_walk", sql("WITH $kg, u AS (SELECT h AS i, r, t AS o, weight FROM kg UNION ALL SELECT t, r, h, weight FROM kg), s0 AS (SELECT h AS query, h AS n, 1.0::double AS p FROM kg WHERE h < 5 GROUP BY 1), a AS (SELECT query, o AS n, sum(p * weight * [0.5, 0.1, 0.2, 0.1, 0.1][r + 1]) AS p FROM s0 JOIN u ON i = n GROUP BY 1, 2), s1 AS (SELECT query, n, p / sum(p) OVER (PARTITION BY query) AS p FROM a), b AS (SELECT query, o AS n, sum(p * weight * [0.1, 0.4, 0.2, 0.2, 0.1][r + 1]) AS p FROM s1 JOIN u ON i = n GROUP BY 1, 2) SELECT query, n AS node_id, round(p / sum(p) OVER (PARTITION BY query), 8) AS p FROM b"))
-def _(s, d):
-    return _walk(s, d, "node_in < 5")
+# Searches over the whole graph: their queries are the heads whose id is divisible by 20.
 
 
-@query("neural_lp_walk_whole")
+@query("neural_lp_walk", sql("WITH $kg, u AS (SELECT h AS i, r, t AS o, weight FROM kg UNION ALL SELECT t, r, h, weight FROM kg), s0 AS (SELECT h AS query, h AS n, 1.0::double AS p FROM kg WHERE h % 20 = 0 GROUP BY 1), a AS (SELECT query, o AS n, sum(p * weight * [0.5, 0.1, 0.2, 0.1, 0.1][r + 1]) AS p FROM s0 JOIN u ON i = n GROUP BY 1, 2), s1 AS (SELECT query, n, p / sum(p) OVER (PARTITION BY query) AS p FROM a), b AS (SELECT query, o AS n, sum(p * weight * [0.1, 0.4, 0.2, 0.2, 0.1][r + 1]) AS p FROM s1 JOIN u ON i = n GROUP BY 1, 2) SELECT query, n AS node_id, round(p / sum(p) OVER (PARTITION BY query), 8) AS p FROM b"))
 def _(s, d):
-    return _walk(s, d, "true")
+    k = kg(s, d).select(F.col("h").alias("node_in"), F.col("r").alias("relation"), F.col("t").alias("node_out"), "weight")
+    both = k.unionByName(k.select(F.col("node_out").alias("node_in"), "relation", F.col("node_in").alias("node_out"), "weight"))
+    start = k.where("node_in % 20 = 0").select(F.col("node_in").alias("query"), F.col("node_in").alias("node_id")).distinct()
+    return I.relational_walk(both, start, [[0.5, 0.1, 0.2, 0.1, 0.1], [0.1, 0.4, 0.2, 0.2, 0.1]]).withColumn("p", F.round("p", 8))
 
 
 @query("prefix_enumeration", sql("WITH $sets, n AS (SELECT set_id, count(*) AS n FROM sets GROUP BY 1) SELECT set_id, unnest(range(n // 2 + 1)) AS prefix, unnest(range(n // 2 + 1)) * 2 AS n FROM n"))
@@ -175,11 +161,14 @@ def _(s, d):
     return I.prefixes(R.sizes_of(sets(s, d)), 2)
 
 
-@query("beam_search")
+_STEPS = ", ".join(f"n{i} AS (SELECT query, e.t AS state, score + w AS score FROM s{i - 1} JOIN e ON e.h = state), s{i} AS (SELECT query, state, score FROM (SELECT query, state, max(score) AS score, row_number() OVER (PARTITION BY query ORDER BY max(score) DESC, state) AS k FROM n{i} WHERE state % 5 <> 0 GROUP BY 1, 2) WHERE k <= 5)" for i in (1, 2, 3))
+
+
+@query("beam_search", sql(f"WITH $kg, k AS (SELECT h, t, round(ln(weight), 6) AS w FROM kg), e AS (SELECT h, t, w FROM k UNION ALL SELECT t, h, w FROM k), s0 AS (SELECT DISTINCT h AS query, h AS state, 0.0::double AS score FROM kg WHERE h % 20 = 0), {_STEPS} SELECT query, state, round(max(score), 6) AS score FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3) WHERE state % 5 = 0 GROUP BY 1, 2"))
 def _(s, d):
-    k = kg(s, d).select("h", "t", F.log(F.col("weight")).alias("w"))
+    k = kg(s, d).select("h", "t", F.round(F.log(F.col("weight")), 6).alias("w"))
     e = k.unionByName(k.select(F.col("t").alias("h"), F.col("h").alias("t"), "w"))
-    start = k.select(F.col("h").alias("query"), F.col("h").alias("state")).distinct().withColumn("score", F.lit(0.0))
+    start = k.where("h % 20 = 0").select(F.col("h").alias("query"), F.col("h").alias("state")).distinct().withColumn("score", F.lit(0.0))
 
     def expand(f):
         return f.join(e.withColumnRenamed("h", "state"), "state").select("query", F.col("t").alias("state"), (F.col("score") + F.col("w")).alias("score"), (F.col("t") % 5 == 0).alias("stop"))
@@ -191,7 +180,7 @@ def _(s, d):
 
 
 def _mols(s, d):
-    return C.parsed(table(s, d, "smiles").where("smiles is not null").dropDuplicates(["sample_id"]))
+    return C.parsed(table(s, d, "smiles").where("smiles is not null").dropDuplicates(["sample_id"]), form=canonical)
 
 
 @query("molecule_atoms")
@@ -199,6 +188,13 @@ def _(s, d):
     return C.atoms(_mols(s, d))
 
 
+@query("molecule_atom_counts", "WITH n AS (SELECT DISTINCT graph_id, node_id, atom_type FROM nodes), s AS (SELECT DISTINCT sample_id FROM smiles WHERE smiles IS NOT NULL) SELECT graph_id, atom_type::bigint AS atom_type, count(*) AS n FROM n JOIN s ON sample_id = graph_id WHERE atom_type IS NOT NULL GROUP BY 1, 2")
+def _(s, d):
+    # What the texts hold against the registry's nodes, for records that have any.
+    a = C.atoms(_mols(s, d)).where("atom_type > 1").groupBy("graph_id", F.col("atom_type").cast("long").alias("atom_type")).agg(F.count("*").alias("n"))
+    return a.join(table(s, d, "nodes").select("graph_id").distinct(), "graph_id", "left_semi")
+
+
 @query("molecule_bonds")
 def _(s, d):
     return C.bonds(_mols(s, d))
@@ -216,7 +212,7 @@ def _(s, d):
 
 @query("is_valid")
 def _(s, d):
-    return C.valid(_mols(s, d))
+    return C.valid(_mols(s, d), unknown=False)
 
 
 @query("atom_types", "SELECT DISTINCT atom_type FROM nodes WHERE atom_type IS NOT NULL")
@@ -272,7 +268,7 @@ def _(s, d):
     return newest(ev(s, d), 5).select("user_id", "event_id", "value")
 
 
-@query("ema_baseline")
+@query("ema_baseline", sql("WITH $ev, h AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS x FROM ev GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM h) SELECT event_type, count(*) AS n, round(sum(x * CASE WHEN k = 1 THEN pow(0.9, n - 1) ELSE 0.1 * pow(0.9, n - k) END), 6) AS ema FROM r GROUP BY 1"))
 def _(s, d):
     from spindrel.streaming.history import moving_average
 

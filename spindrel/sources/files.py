@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrel.operators.ordered import numbered
+from spindrel.session import maybe_broadcast
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +36,7 @@ def triplets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     at = lambda k: place(F.col("file_ord"), "line", k)
     ent = first_seen_ids(rows.select(F.col("h").alias("token"), at(0).alias("at")).unionByName(rows.select(F.col("t").alias("token"), at(1).alias("at"))))
     rel = first_seen_ids(rows.select(F.col("r").alias("token"), at(0).alias("at")))
-    j = rows.join(ent.toDF("h", "hi"), "h").join(ent.toDF("t", "ti"), "t").join(F.broadcast(rel.toDF("r", "ri")), "r")
+    j = rows.join(ent.toDF("h", "hi"), "h").join(ent.toDF("t", "ti"), "t").join(maybe_broadcast(rel.toDF("r", "ri")), "r")
     return j.select("file_ord", "line", F.col("hi").alias("h"), F.col("ti").alias("t"), F.col("ri").alias("r")), ent, rel
 
 
@@ -79,7 +80,7 @@ def read_nodes(spark: SparkSession, node_path: str, edge_path: str) -> tuple[Dat
     ids = first_seen_ids(node.select("token", at(0).alias("at")).unionByName(ends.select("x.token", place(1, "line", F.col("x.side")).alias("at"))))
     labels = first_seen_ids(node.select(F.col("label_token").alias("token"), at(0).alias("at"))).toDF("label_token", "label")
     width = node.agg(F.max(F.size("feature"))).first()[0] or 0
-    full = ids.join(node.join(F.broadcast(labels), "label_token", "left"), "token", "left")
+    full = ids.join(node.join(maybe_broadcast(labels), "label_token", "left"), "token", "left")
     nodes = full.select(F.col("id").alias("node_id"), "token", F.coalesce("feature", F.array_repeat(F.lit(0.0), width)).alias("feature"), F.coalesce("label", F.lit(0)).cast("long").alias("label"))
     edges = e.select(F.col("f")[0].alias("a"), F.col("f")[1].alias("b")).join(ids.toDF("a", "node_in"), "a").join(ids.toDF("b", "node_out"), "b").select("node_in", "node_out")
     return nodes, edges
@@ -91,7 +92,7 @@ def fasta(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("line")
     head = F.col("value").startswith(">")
     r = lines.withColumn("record", F.sum(head.cast("long")).over(w)).where("record > 0")
-    g = r.groupBy("file", "record").agg(F.max(F.when(head, F.trim(F.substring("value", 2, 100_000)))).alias("name"), F.sort_array(F.collect_list(F.when(~head, F.struct("line", F.trim("value").alias("s"))))).alias("z"))
+    g = r.groupBy("file", "record").agg(F.max(F.when(head, F.trim(F.expr("substring(value, 2)")))).alias("name"), F.sort_array(F.collect_list(F.when(~head, F.struct("line", F.trim("value").alias("s"))))).alias("z"))
     return g.select("file", (F.col("record") - 1).alias("record"), "name", F.concat_ws("", F.transform("z", lambda x: x["s"])).alias("sequence"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,14 +18,15 @@ _GRAPH = (
 VALENCE = {1: 1, 5: 3, 6: 4, 7: 3, 8: 2, 9: 1, 14: 4, 15: 5, 16: 6, 17: 1, 35: 1, 53: 7}
 
 
-def parsed(records: DataFrame, id_col: str = "sample_id", smiles_col: str = "smiles", strict: bool = False) -> DataFrame:
-    """One row a record with its atoms and bonds; a text that can't be read is left out, or an error if ``strict``."""
+def parsed(records: DataFrame, id_col: str = "sample_id", smiles_col: str = "smiles", strict: bool = False, form: Callable[[str], str | None] = str.strip) -> DataFrame:
+    """One row a record with its atoms and bonds; a text that can't be read is left out, or an error if ``strict``. ``form`` tidies a
+    text before it is read, such as :func:`spindrel.functions.smiles.canonical` where texts are written unevenly."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, t in zip(b["id"].tolist(), b["s"]):
-                g = parse(t.strip()) if isinstance(t, str) else None
+                g = parse(form(t)) if isinstance(t, str) else None
                 if g is None:
                     if strict:
                         raise ValueError(f"no SMILES: {t!r}")
@@ -55,11 +56,13 @@ def valences(graphs: DataFrame) -> DataFrame:
     return atoms(graphs).select("graph_id", "node_id", "atom_type", "formal_charge").join(v, ["graph_id", "node_id"], "left").fillna(0, ["valence"])
 
 
-def valid(graphs: DataFrame) -> DataFrame:
-    """``(graph_id, valid)``: no atom beyond its valence; charged nitrogen may have four, unknown atoms any."""
+def valid(graphs: DataFrame, unknown: bool | None = None) -> DataFrame:
+    """``(graph_id, valid)``: no atom beyond its valence; charged nitrogen may have four. An atom without a known valence is an
+    error, unless ``unknown`` says what such a molecule is."""
     table = F.create_map(*[F.lit(x) for kv in VALENCE.items() for x in kv])
-    most = F.when((F.col("atom_type") == 7) & (F.col("formal_charge") == 1), 4).otherwise(F.coalesce(F.element_at(table, F.col("atom_type")), F.lit(99)))
-    return valences(graphs).groupBy("graph_id").agg(F.min(F.col("valence") <= most).alias("valid"))
+    most = F.when((F.col("atom_type") == 7) & (F.col("formal_charge") == 1), 4).otherwise(F.try_element_at(table, F.col("atom_type")))
+    other = F.raise_error(F.concat(F.lit("no valence is known for atom "), F.col("atom_type").cast("string"))).cast("boolean") if unknown is None else F.lit(unknown)
+    return valences(graphs).groupBy("graph_id").agg(F.min(F.when(most.isNull(), other).otherwise(F.col("valence") <= most)).alias("valid"))
 
 
 def neutral(a: DataFrame) -> DataFrame:

