@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,12 +74,17 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
-def wide_rows(spark: SparkSession, rows: int = 500) -> None:
-    """Send rows that hold whole sets or texts to Python in batches of at most ``rows``: at some KB a row, batches of the default
-    size would take several hundred MB of each worker."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Within it, rows go to Python in batches of at most ``rows``: at some KB a row, batches of the default size would take several
+    hundred MB of each worker. Meant around an action, such as :func:`written`; the session's setting is restored after."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows)) if int(before) > 0 else str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
