@@ -1,27 +1,26 @@
 """Near-duplicate records with small edits: all pairs of token sets whose Jaccard similarity reaches a threshold.
 
-Sets that reach the threshold share one of their rarest tokens, so sets meet under those tokens only. All sets under a token form
-a signature tree: nodes hold the OR of their members' token bitmaps, the range of their sizes and the most tokens that share a
-bit; a dual traversal drops node pairs whose largest possible overlap is too small. What is left is checked exactly.
+Sets that reach the threshold share one of their rarest tokens, so sets meet under those tokens only. The sets under a token form a
+signature tree, whatever their number: nodes hold the OR of their members' token bitmaps, ranges of sizes, and the most tokens that
+may follow; a dual traversal of the tree with itself drops node pairs whose largest possible overlap is too small. The trees of all
+tokens of a bucket are built and traversed level by level together. What is left is checked exactly.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrel.llm.set_tokens import WORDS, bitmap, cell_of, frequency_table, mixed, most, ones
-from spindrel.session import wide_rows, written
+from spindrel.llm import set_lists as L
+from spindrel.llm.set_tokens import cell_of, frequency_table, mixed, most, ones
+from spindrel.session import written
 
-#: Members of a leaf, children of a node, and sets that one token may bring together in one task; more are spread in blocks.
-LEAF, FAN, BLOCK = 8, 4, 4096
-#: Pairs that are looked at at once, and rows a task holds before it passes them on.
-_PAIRS, HELD = 200_000, 20_000
+#: Members of a leaf, and children of a node.
+LEAF, FAN = 8, 4
 
 
 def needed(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
@@ -29,203 +28,147 @@ def needed(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
 
 
-class SignatureTree:
-    """Levels of nodes over members in order; level 0 holds leaves of ``LEAF`` members."""
-
-    def __init__(self, bits: np.ndarray, size: np.ndarray, extra: np.ndarray) -> None:
-        self.bits, self.size, self.extra = bits, size, extra
-        self.levels = [self._level(bits, size, size, extra, LEAF)]
-        while len(self.levels[-1][0]) > 1:
-            self.levels.append(self._level(*self.levels[-1], FAN))
-
-    @staticmethod
-    def _level(bits, least, greatest, extra, fan):
-        at = np.arange(0, len(bits), fan)
-        return np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(greatest, at), np.maximum.reduceat(extra, at)
-
-    def pairs(self, other: SignatureTree, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Member pairs (once each, ``i < j`` where both trees are the same) that may reach the threshold."""
-        la, lb = len(self.levels) - 1, len(other.levels) - 1
-        stack = [(la, lb, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-        while stack:
-            la, lb, a, b = stack.pop()
-            if len(a) > _PAIRS:
-                half = len(a) // 2
-                stack += [(la, lb, a[:half], b[:half]), (la, lb, a[half:], b[half:])]
-                continue
-            ba, loa, hia, ea = (x[a] for x in self.levels[la])
-            bb, lob, hib, eb = (x[b] for x in other.levels[lb])
-            may = (hia >= threshold * lob) & (hib >= threshold * loa)
-            may &= ones(ba & bb) + np.minimum(ea, eb) >= needed(loa, lob, threshold)
-            a, b = a[may], b[may]
-            if not len(a):
-                continue
-            if la == 0 and lb == 0:
-                # Leaves: all members of one against all of the other, in parts.
-                step = max(1, _PAIRS // (LEAF * LEAF))
-                for k in range(0, len(a), step):
-                    i, j = self._members(a[k : k + step], b[k : k + step], len(self.size), len(other.size))
-                    if same:
-                        keep = i < j
-                        i, j = i[keep], j[keep]
-                    ok = may_reach(self.bits[i], other.bits[j], self.size[i], other.size[j], self.extra[i], other.extra[j], threshold)
-                    yield i[ok], j[ok]
-                continue
-            # Both go down where both can, so pairs of a tree with itself stay on or above the diagonal.
-            fa, fb = (FAN if la else 1), (FAN if lb else 1)
-            na, nb = max(0, la - 1), max(0, lb - 1)
-            i = np.repeat(a * fa, fa * fb) + np.tile(np.repeat(np.arange(fa), fb), len(a))
-            j = np.repeat(b * fb, fa * fb) + np.tile(np.tile(np.arange(fb), fa), len(a))
-            keep = (i < len(self.levels[na][0])) & (j < len(other.levels[nb][0]))
-            if same:
-                keep &= i <= j
-            stack.append((na, nb, i[keep], j[keep]))
-
-    @staticmethod
-    def _members(a, b, na, nb):
-        i = np.repeat(a * LEAF, LEAF * LEAF) + np.tile(np.repeat(np.arange(LEAF), LEAF), len(a))
-        j = np.repeat(b * LEAF, LEAF * LEAF) + np.tile(np.tile(np.arange(LEAF), LEAF), len(a))
-        keep = (i < na) & (j < nb)
-        return i[keep], j[keep]
-
-
-def may_reach(ba, bb, na, nb, ea, eb, threshold):
-    """Whether the largest overlap that bitmaps and sizes allow reaches the threshold: shared bits, and tokens that share a bit."""
-    small, great = np.minimum(na, nb), np.maximum(na, nb)
-    return (small >= threshold * great) & (ones(ba & bb) + np.minimum(ea, eb) >= needed(na, nb, threshold))
-
-
-def _small_groups(start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All member pairs of many small groups, in parts."""
-    size = stop - start
-    row = np.concatenate([np.arange(a + 1, b) for a, b in zip(start, stop)]) if len(start) else np.zeros(0, np.int64)
-    base = np.repeat(start, size - 1)
-    count = row - base
-    cut = np.searchsorted(np.cumsum(count), np.arange(_PAIRS, count.sum() + _PAIRS, _PAIRS)) + 1
-    lo = 0
-    for hi in [*cut.tolist(), len(row)]:
-        hi = min(hi, len(row))
-        if hi > lo:
-            c = count[lo:hi]
-            j = np.repeat(row[lo:hi], c)
-            i = np.repeat(base[lo:hi], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            yield i, j
-        lo = hi
+class SignatureTrees:
+    """One tree for each list of sets; members are sorted by list, then size. ``bits``, ``size``, ``spare`` (tokens that share a bit) and
+    ``rest`` (tokens from the list's token on) belong to members."""
+
+    def __init__(self, start: np.ndarray, stop: np.ndarray, bits: np.ndarray, size: np.ndarray, spare: np.ndarray, rest: np.ndarray) -> None:
+        #: Levels from the leaves up: OR of bitmaps, least and greatest size, most spare, most rest; where a node's children begin and end.
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        self.roots: list[np.ndarray] = []
+        below, fan = (bits, size, size, spare, rest), LEAF
+        while len(start):
+            nodes = -(-(stop - start) // fan)
+            of = np.repeat(np.arange(len(start)), nodes)
+            at = start[of] + fan * (np.arange(len(of)) - np.repeat(np.cumsum(nodes) - nodes, nodes))
+            end = np.minimum(at + fan, stop[of])
+            OR, least, greatest, sp, re = below
+            level = (np.bitwise_or.reduceat(OR, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(greatest, at), np.maximum.reduceat(sp, at), np.maximum.reduceat(re, at))
+            self.levels.append((*level, at, end))
+            stop = np.cumsum(nodes)
+            start = stop - nodes
+            self.roots.append(start[nodes == 1])
+            # Trees whose root this is go no further; the others' nodes are the children of the next level.
+            start, stop, fan, below = start[nodes > 1], stop[nodes > 1], FAN, level
+
+    def pairs(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Member pairs ``i < j`` of leaves that the dual traversal leaves, some at a time."""
+        a = b = np.zeros(0, np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            OR, least, greatest, spare, rest, start, stop = self.levels[k]
+            a, b = np.concatenate([a, self.roots[k]]), np.concatenate([b, self.roots[k]])
+            kept = []
+            for lo in range(0, len(a), L.PAIRS // 16):
+                i, j = a[lo : lo + L.PAIRS // 16], b[lo : lo + L.PAIRS // 16]
+                need = needed(least[i], least[j], threshold)
+                ok = (greatest[i] >= threshold * least[j]) & (greatest[j] >= threshold * least[i]) & (np.minimum(rest[i], rest[j]) >= need)
+                i, j, need = i[ok], j[ok], need[ok]
+                ok = ones(OR[i] & OR[j]) + np.minimum(spare[i], spare[j]) >= need
+                kept.append((i[ok], j[ok]))
+            a, b = (np.concatenate([x[s] for x in kept]) if kept else np.zeros(0, np.int64) for s in (0, 1))
+            if k == 0:
+                for i, j in L.expand(start[a], stop[a] - start[a], start[b], stop[b] - start[b]):
+                    up = i < j
+                    yield i[up], j[up]
+                return
+            met = list(L.expand(start[a], stop[a] - start[a], start[b], stop[b] - start[b]))
+            a, b = (np.concatenate([x[s] for x in met]) if met else np.zeros(0, np.int64) for s in (0, 1))
+            up = a <= b
+            a, b = a[up], b[up]
+
+
+def _postings(table, threshold: float, buckets: int, block: int):
+    """Each set in the buckets of its rare tokens: ``(bucket, id, n, bits, keys, pos)`` with the tokens' places by rarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = table.value
+        for whole in batches:
+            for lo in range(0, len(whole), L.ROWS):
+                b = whole.slice(lo, L.ROWS)
+                ids = b.column("id").to_numpy(zero_copy_only=False)
+                tokens, n = L.flattened(b.column("tokens"))
+                owner = np.repeat(np.arange(len(n)), n)
+                cells, h = level[cell_of(tokens)], mixed(tokens)
+                bits = np.array(L.packed_bits(owner, h, n), object)
+                # By set, then rarity, then hash; equal hashes stay in the order of the tokens.
+                order = np.argsort(owner.astype(np.uint64) << np.uint64(52) | cells.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20), kind="stable")
+                pos = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                # A set needs no more of its rarest tokens than leave the smallest overlap it can have with any partner.
+                probe = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+                keep = (pos < probe[owner]) & (cells[order] > 1)  # a cell that counted one token has no second set
+                at, pos, own = order[keep], pos[keep], owner[keep]
+                key, copy = L.blocked(tokens[at], ids[own], most(cells[at]), None, block)
+                fixed = lambda s, ids=ids, n=n, bits=bits: {"id": pa.array(ids[s]), "n": pa.array(n[s].astype(np.int32)), "bits": pa.array(bits[s].tolist(), pa.binary())}
+                yield L.bucketed(own[copy], key, {"pos": pos[copy].astype(np.int32)}, buckets, fixed)
 
+    return run
 
-def _postings(table, threshold: float):
-    """Rows of ``(key, i, j)`` under which a set meets others: its rare tokens, blocked where a token is hot."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level = table.value
-        held: list[tuple] = []
-        rows = 0
-        for b in batches:
-            for i, tokens in zip(b["id"].tolist(), b["tokens"]):
-                n = len(tokens)
-                cells = level[cell_of(tokens)]
-                order = np.lexsort((mixed(tokens), cells))
-                probe, index = n - math.ceil(threshold * n - 1e-9) + 1, n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
-                order = order[:probe]
-                at = np.flatnonzero(cells[order] > 1)  # a cell that counted one token has no second set
-                if not len(at):
-                    continue
-                blocks = np.ceil(most(cells[order[at]]) / BLOCK).astype(np.int64)
-                copies = np.repeat(np.arange(len(at)), blocks)
-                other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                mine = (int(mixed(np.array([i]))[0] >> np.uint64(8)) % blocks)[copies]
-                held.append((tokens[order[at]][copies], np.minimum(mine, other), np.maximum(mine, other), i, n, (at < index)[copies], bitmap(tokens).tobytes()))
-                rows += len(copies)
-                if rows > HELD:
-                    yield together(held)
-                    held, rows = [], 0
-        if held:
-            yield together(held)
-
-    def together(held: list[tuple]) -> pd.DataFrame:
-        token, p, q, i, n, indexed, bits = zip(*held)
-        size = [len(x) for x in token]
-        many = lambda x, kind: np.repeat(np.array(x, kind), size)
-        return pd.DataFrame({"token": np.concatenate(token), "p": np.concatenate(p).astype(np.int32), "q": np.concatenate(q).astype(np.int32), "id": many(i, np.int64), "n": many(n, np.int32), "indexed": np.concatenate(indexed), "bits": many(bits, object)})
+def candidates(ids: np.ndarray, n: np.ndarray, bits: list[bytes], owner: np.ndarray, key: np.ndarray, pos: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of set numbers that may reach the threshold, by the trees of all lists of a bucket; a pair may come more than once.
+    Sets are in the order of their sizes, and postings in that of their sets.
 
-    return run
+    Of a pair that reaches it, the first token (by rarity) that both have leaves in either set as many tokens as the pair must share.
+    """
+    maps = L.Bitmaps(bits, n)
+    order = np.argsort(key, kind="stable")  # sets come by size
+    key, owner, pos = key[order], owner[order], pos[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    stop = np.append(start[1:], len(key))
+    many = stop - start > 1
+    start, stop = start[many], stop[many]
+    ends = np.cumsum(stop - start)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + L.SLAB, side="right")))
+        s, e = start[lo:hi], stop[lo:hi]
+        lo = hi
+        at = np.concatenate([np.arange(x, y) for x, y in zip(s.tolist(), e.tolist())])
+        size = e - s
+        e = np.cumsum(size)
+        own, p = owner[at], pos[at]
+        own_n = n[own]
+        trees = SignatureTrees(e - size, e, maps.words[0][own], own_n, maps.spare[0][maps.at[0][own]], own_n - p)
+        for i, j in trees.pairs(threshold):
+            x, y = own[i], own[j]
+            need = needed(n[x], n[y], threshold)
+            ok = (ids[x] != ids[y]) & (n[x] >= threshold * n[y]) & (n[y] >= threshold * n[x]) & (n[x] - p[i] >= need) & (n[y] - p[j] >= need)
+            code = np.unique(np.minimum(x[ok], y[ok]) * len(n) + np.maximum(x[ok], y[ok]))
+            x, y = np.divmod(code, len(n))
+            ok = maps.common(x, y) >= needed(n[x], n[y], threshold)
+            if ok.any():
+                yield x[ok], y[ok]
 
 
 def _meet(threshold: float):
-    """Candidate pairs of the sets under each key; rows come sorted by key, size and id."""
-
-    def groups(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, size, indexed = b["id"].to_numpy(), b["n"].to_numpy().astype(np.int64), b["indexed"].to_numpy()
-        bits = np.frombuffer(b"".join(b["bits"]), np.uint64).reshape(-1, WORDS)
-        extra = size - ones(bits)
-        key = b[["token", "p", "q"]].to_numpy()
-        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        stop = np.concatenate([start[1:], [len(b)]])
-        count = stop - start
-        small = (count > 1) & (count <= LEAF * FAN)
-
-        def emit(i, j):
-            # The smaller set must be indexed under the token (ties by id, as sorted), and differ from the other.
-            ok = indexed[i] & (ids[i] != ids[j])
-            i, j = i[ok], j[ok]
-            return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-
-        for i, j in _small_groups(start[small], stop[small]):
-            ok = may_reach(bits[i], bits[j], size[i], size[j], extra[i], extra[j], threshold)
-            yield emit(i[ok], j[ok])
-        for a, z in zip(start[count > LEAF * FAN], stop[count > LEAF * FAN]):
-            # Members in the order of their lowest bits, so that like sets lie in one node.
-            order = a + np.lexsort((size[a:z], *(bits[a:z, w] for w in range(2))))
-            tree = SignatureTree(bits[order], size[order], extra[order])
-            for i, j in tree.pairs(tree, True, threshold):
-                i, j = order[i], order[j]
-                i, j = np.minimum(i, j), np.maximum(i, j)  # rows are sorted by size, then id
-                yield emit(i, j)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        rows = 0
-
-        def out(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            for a, z in groups(b):
-                if len(a):
-                    yield pd.DataFrame({"a": a, "b": z}).drop_duplicates()
-
-        for b in batches:
-            held.append(b)
-            rows += len(b)
-            if rows < 30_000:
-                continue
-            b = pd.concat(held, ignore_index=True)
-            last = b.iloc[-1]
-            tail = ((b["token"] == last["token"]) & (b["p"] == last["p"]) & (b["q"] == last["q"])).to_numpy()
-            if not tail.all():
-                yield from out(b[~tail].reset_index(drop=True))
-                b = b[tail]
-            held, rows = [b], len(b)
-        if held:
-            b = pd.concat(held, ignore_index=True)
-            if len(b):
-                yield from out(b)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in L.by_bucket(batches):
+            t = t.sort_by("n").combine_chunks()
+            ids, n = t.column("id").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+            key, count = L.flattened(t.column("keys").chunk(0))
+            pos, _ = L.flattened(t.column("pos").chunk(0))
+            for x, y in candidates(ids, n, t.column("bits").to_pylist(), np.repeat(np.arange(len(n)), count), key, pos.astype(np.int64), threshold):
+                a, b = ids[x], ids[y]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return run
 
 
-def similar_sets(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float = 0.8, block: int = L.BLOCK) -> DataFrame:
     """``(a, b, similarity)`` with ``a < b``: all pairs of rows of ``sets (id long, tokens array<long>, distinct)`` whose Jaccard
-    similarity is ``threshold`` or more. Ids must be unique; rows without tokens pair with nothing; sets are compared whole.
+    similarity is ``threshold`` or more. Ids must be unique and tokens in ascending order; rows without tokens pair with nothing; sets are compared whole.
 
     Meant for distinct sets: collapse equal ones first (:func:`near_copy_pairs` does), for their pairs are quadratic. A token that
-    most sets share is met last and, where it is met, in blocks of at most some thousand sets, block against block.
+    most sets share is met last and, where it is met, in blocks of about ``block`` sets, block against block.
     """
     spark = sets.sparkSession
-    wide_rows(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = sets.where(F.size("tokens") > 0)
+    total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
     table = spark.sparkContext.broadcast(frequency_table(sets))
-    posted = sets.mapInPandas(_postings(table, threshold), "token long, p int, q int, id long, n int, indexed boolean, bits binary")
-    met = posted.repartition(n, "token", "p", "q").sortWithinPartitions("token", "p", "q", "n", "id")
-    pairs = written(met.mapInPandas(_meet(threshold), "a long, b long").distinct(), "pairs")
+    shape = "bucket int, id long, n int, bits binary, keys array<long>, pos array<int>"
+    posted = sets.select("id", "tokens").mapInArrow(_postings(table, threshold, L.number_of_buckets(total, n), block), shape)
+    pairs = written(L.exchanged(posted, n).mapInArrow(_meet(threshold), "a long, b long").distinct(), "pairs")
     return exact_similarity(pairs, sets, threshold)
 
 
@@ -245,11 +188,11 @@ def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
-def near_copy_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+def near_copy_pairs(sets: DataFrame, threshold: float = 0.8, block: int = L.BLOCK) -> DataFrame:
     """``(id_a, id_b)``, smaller id first, of all rows of ``sets`` that reach the threshold, rows with equal sets included."""
     reps, members = distinct_sets(sets.where(F.size("tokens") > 0))
     a, b = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-    across = similar_sets(reps, threshold).select("a", "b").join(a, "a").join(b, "b")
+    across = similar_sets(reps, threshold, block).select("a", "b").join(a, "a").join(b, "b")
     equal = a.join(members.select(F.col("id").alias("y"), F.col("rep").alias("a")), "a").where("x < y")
     every = across.select("x", "y").unionByName(equal.select("x", "y"))
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrel.functions.smiles import canonical
 from spindrel.llm.copies import canonical_table, collapsed, copy_pairs
-from spindrel.llm.cross_split import cosine_join, overlap_counts
+from spindrel.llm.cross_split import cosine_join, least_cosine, overlap_counts, rarity_weights
 from spindrel.llm.leaks import leaks
 from spindrel.llm.near_copies import distinct_sets, near_copy_groups, near_copy_pairs
 from spindrel.llm.packing import packed
@@ -19,7 +19,7 @@ from spindrel.llm.pieces import chain_starts, cut_proteins
 from spindrel.llm.pii import personal_information, without_personal_information
 from spindrel.llm.set_tokens import stretches
 from spindrel.llm.splits import grouped_split, linked_groups, read_split, registry_keys
-from spindrel.session import table, wide_rows, written
+from spindrel.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,7 +76,6 @@ def p2_collapsed(spark, d):
 
 
 def proteins_once(spark, d):
-    wide_rows(spark)
     return once(table(spark, d, "sequences"), "protein_id", "sequence", "source", "split")
 
 
@@ -133,42 +132,42 @@ def flat(text):
     return canonical(text, stereo=False)
 
 
-def cross_split_pairs(spark, d):
-    """``(field, held_id, train_id)`` of both fields, by the cosine join; equal texts and sets are joined once and expanded last."""
+def cross_split_classes(spark, d):
+    """``(met, held, train)`` of both fields: which classes of equal records of a held-out and of the train split are alike, by the
+    cosine join, and the members of the classes."""
     s = smiles_once(spark, d).withColumn("part", read_split("split")).where("part is not null")
-    keys = canonical_table(s, "sample_id", "smiles", flat).join(s.select(F.col("sample_id").alias("id"), (F.col("part") == "train").alias("train")), "id")
-    keys = written(keys, "flat")
-    rep = {t: written(keys.where(F.col("train") == t).groupBy("key").agg(F.min("id").alias("id")), "texts") for t in (False, True)}
-    met = cosine_join(text_vectors(rep[False]), text_vectors(rep[True]), 0.9999)
-    same = met.join(rep[False].toDF("ka", "l"), "l").join(rep[True].toDF("kb", "r"), "r").where("ka = kb").select(F.col("ka").alias("key"))
-    of = lambda t, name: keys.where(F.col("train") == t).join(same, "key", "left_semi").select("key", F.col("id").alias(name))
-    smiles = of(False, "held_id").join(of(True, "train_id"), "key").select(F.lit("smiles").alias("field"), "held_id", "train_id")
+    keys = written(canonical_table(s, "sample_id", "smiles", flat).join(s.select(F.col("sample_id").alias("id"), F.col("part").alias("split"), "source"), "id"), "flat")
+    part = {t: keys.where((F.col("split") == "train") == F.lit(t)) for t in (False, True)}
+    rep = {t: written(part[t].groupBy("key").agg(F.min("id").alias("rep")), "texts") for t in (False, True)}
+    near = cosine_join(*(text_vectors(rep[t].select(F.col("rep").alias("id"), "key")) for t in (False, True)), 0.9999)
+    met = near.join(rep[False].toDF("ka", "l"), "l").join(rep[True].toDF("kb", "r"), "r").where("ka = kb").select(F.lit("smiles").alias("field"), "l", "r")
+    held = part[False].join(rep[False], "key").select(F.lit("smiles").alias("field"), "id", F.col("rep").alias("l"), "split", "source")
+    train = part[True].join(rep[True], "key").select(F.lit("smiles").alias("field"), "id", F.col("rep").alias("r"))
 
     p = proteins_once(spark, d).withColumn("part", read_split("split")).where("part is not null")
-    sets = written(stretch_sets(p).join(p.select(F.col("protein_id").alias("id"), (F.col("part") == "train").alias("train")), "id"), "tokens")
-    side = {t: distinct_sets(sets.where((F.col("train") == t) & (F.size("tokens") > 0)).select("id", "tokens")) for t in (False, True)}
-    # A similarity of one half is a cosine of two thirds at least, as sizes differ or not.
-    flat_weights = lambda x: x.select("id", "tokens").withColumn("weights", F.transform("tokens", lambda t: F.lit(1.0))).withColumnRenamed("tokens", "terms")
-    met = cosine_join(flat_weights(side[False][0]), flat_weights(side[True][0]), 2 * PROTEIN_SIMILARITY / (1 + PROTEIN_SIMILARITY))
-    n = lambda t, i, c: side[t][0].select(F.col("id").alias(i), F.size("tokens").alias(c))
-    near = met.join(n(False, "l", "nl"), "l").join(n(True, "r", "nr"), "r").where(F.col("shared") >= PROTEIN_SIMILARITY * (F.col("nl") + F.col("nr") - F.col("shared")))
-    held, train = side[False][1].toDF("held_id", "l"), side[True][1].toDF("train_id", "r")
-    proteins = near.select("l", "r").join(held, "l").join(train, "r").select(F.lit("sequences").alias("field"), "held_id", "train_id")
-    records = s.select(F.lit("smiles").alias("field"), F.col("sample_id").alias("id"), F.col("part").alias("split"), "source")
-    records = records.unionByName(p.select(F.lit("sequences").alias("field"), F.col("protein_id").alias("id"), F.col("part").alias("split"), "source"))
-    return smiles.unionByName(proteins), records
+    sets = written(stretch_sets(p).where(F.size("tokens") > 0).join(p.select(F.col("protein_id").alias("id"), F.col("part").alias("split"), "source"), "id"), "tokens")
+    side = {t: sets.where((F.col("split") == "train") == F.lit(t)) for t in (False, True)}
+    reps, members = zip(*(distinct_sets(side[t].select("id", "tokens")) for t in (False, True)))
+    near = cosine_join(*rarity_weights(*reps), least_cosine(PROTEIN_SIMILARITY))
+    n = [r.select(F.col("id").alias(c), F.size("tokens").alias(f"n{c}")) for r, c in zip(reps, "lr")]
+    close = near.join(n[0], "l").join(n[1], "r").where(F.col("shared") >= PROTEIN_SIMILARITY * (F.col("nl") + F.col("nr") - F.col("shared")))
+    field = F.lit("sequences").alias("field")
+    met = met.unionByName(close.select(field, "l", "r"))
+    held = held.unionByName(members[0].join(side[False].select("id", "split", "source"), "id").select(field, "id", F.col("rep").alias("l"), "split", "source"))
+    train = train.unionByName(members[1].select(field, "id", F.col("rep").alias("r")))
+    return met, held, train
 
 
 @query("p5_found")
 def p5_found(spark, d):
-    pairs, _ = cross_split_pairs(spark, d)
-    return pairs.select("field", F.least("held_id", "train_id").alias("id_a"), F.greatest("held_id", "train_id").alias("id_b"))
+    met, held, train = cross_split_classes(spark, d)
+    pairs = met.join(held.select("field", F.col("id").alias("a"), "l"), ["field", "l"]).join(train.select("field", F.col("id").alias("b"), "r"), ["field", "r"])
+    return pairs.select("field", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
 @query("p5_counts")
 def p5_counts(spark, d):
-    pairs, records = cross_split_pairs(spark, d)
-    return overlap_counts(pairs, records)
+    return overlap_counts(*cross_split_classes(spark, d))
 
 
 @query("p6_found")
