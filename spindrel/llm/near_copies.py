@@ -166,8 +166,8 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, block: int = L.BLOCK)
     sets = sets.where(F.size("tokens") > 0)
     total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
     table = spark.sparkContext.broadcast(frequency_table(sets))
-    shape = "bucket int, id long, n int, bits binary, keys array<long>, pos array<int>"
-    posted = sets.select("id", "tokens").mapInArrow(_postings(table, threshold, L.number_of_buckets(total, n), block), shape)
+    shape = "bucket int, id long, n int, bits binary, keys array<int>, pos array<int>"
+    posted = sets.select("id", "tokens").mapInArrow(_postings(table, threshold, L.number_of_buckets(int(total * (1 - threshold)), n), block), shape)
     pairs = written(L.exchanged(posted, n).mapInArrow(_meet(threshold), "a long, b long").distinct(), "pairs")
     return exact_similarity(pairs, sets, threshold)
 
@@ -181,10 +181,11 @@ def exact_similarity(pairs: DataFrame, sets: DataFrame, threshold: float) -> Dat
 
 def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(reps, members)``: each different set once, under the smallest id with it, and ``(id, rep)`` for all rows."""
-    s = sets.withColumn("print", F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>"))))
-    rep = s.groupBy("print").agg(F.min("id").alias("rep"))
-    members = written(s.select("id", "print").join(rep, "print").select("id", "rep"), "members")
-    reps = written(s.select("id", "tokens").join(members.where("id = rep").select("id"), "id"), "sets")
+    two = [F.xxhash64("tokens").alias("p"), F.xxhash64(F.lit(1), "tokens").alias("q")]  # 128 bits of a set
+    s = sets.select("id", *two)
+    rep = s.groupBy("p", "q").agg(F.min("id").alias("rep"))
+    members = written(s.join(rep, ["p", "q"]).select("id", "rep"), "members")
+    reps = written(sets.select("id", "tokens").join(members.where("id = rep").select("id"), "id"), "sets")
     return reps, members
 
 

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrel.functions.smiles import canonical
 from spindrel.llm.copies import canonical_table, collapsed, copy_pairs
-from spindrel.llm.cross_split import cosine_join, least_cosine, overlap_counts, rarity_weights
+from spindrel.llm.cross_split import cosine_join, least_cosine, overlap_counts, rarity_weights, unit
 from spindrel.llm.leaks import leaks
 from spindrel.llm.near_copies import distinct_sets, near_copy_groups, near_copy_pairs
 from spindrel.llm.packing import packed
@@ -104,22 +105,25 @@ def p3_groups(spark, d):
 
 
 def text_vectors(keys):
-    """``(id, terms, weights)`` of canonical texts: their components and stretches of eight letters, weighted by the root of how
-    often they occur."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, k in zip(b["id"].tolist(), b["key"]):
-                a = np.frombuffer(b"\x00" + bytes(k) + b"\x00", np.uint8)
-                a = np.concatenate([a, np.zeros(max(0, 8 - len(a)), np.uint8)])
-                words = np.lib.stride_tricks.sliding_window_view(a, 8).copy().view(np.int64).ravel()
-                parts = np.array([hash_bytes(x) for x in bytes(k).split(b".")], np.int64)
-                terms, n = np.unique(np.concatenate([words, parts]), return_counts=True)
-                rows.append((i, terms, np.sqrt(n)))
-            yield pd.DataFrame(rows, columns=["id", "terms", "weights"])
-
-    return keys.mapInPandas(run, "id long, terms array<long>, weights array<double>")
+    """``(id, terms, weights)`` of canonical texts as vectors of length 1: their components and stretches of eight letters, weighted
+    by the root of how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 1_000):
+                b = whole.slice(lo, 1_000)
+                terms, counts = [], []
+                for k in b.column("key").to_pylist():
+                    a = np.frombuffer(b"\x00" + k + b"\x00", np.uint8)
+                    a = np.concatenate([a, np.zeros(max(0, 8 - len(a)), np.uint8)])
+                    words = np.lib.stride_tricks.sliding_window_view(a, 8).copy().view(np.int64).ravel()
+                    t, c = np.unique(np.concatenate([words, np.array([hash_bytes(x) for x in k.split(b".")], np.int64)]), return_counts=True)
+                    terms.append(t)
+                    counts.append(c)
+                if terms:
+                    yield unit(b.column("id"), np.concatenate(terms), np.sqrt(np.concatenate(counts)), np.array([len(x) for x in terms]))
+
+    return keys.select("id", "key").mapInArrow(run, "id long, terms array<long>, weights array<double>")
 
 
 def hash_bytes(x: bytes) -> int:
@@ -139,7 +143,7 @@ def cross_split_classes(spark, d):
     keys = written(canonical_table(s, "sample_id", "smiles", flat).join(s.select(F.col("sample_id").alias("id"), F.col("part").alias("split"), "source"), "id"), "flat")
     part = {t: keys.where((F.col("split") == "train") == F.lit(t)) for t in (False, True)}
     rep = {t: written(part[t].groupBy("key").agg(F.min("id").alias("rep")), "texts") for t in (False, True)}
-    near = cosine_join(*(text_vectors(rep[t].select(F.col("rep").alias("id"), "key")) for t in (False, True)), 0.9999)
+    near = cosine_join(*(text_vectors(rep[t].select(F.col("rep").alias("id"), "key")) for t in (False, True)), 0.9999, scaled=True)
     met = near.join(rep[False].toDF("ka", "l"), "l").join(rep[True].toDF("kb", "r"), "r").where("ka = kb").select(F.lit("smiles").alias("field"), "l", "r")
     held = part[False].join(rep[False], "key").select(F.lit("smiles").alias("field"), "id", F.col("rep").alias("l"), "split", "source")
     train = part[True].join(rep[True], "key").select(F.lit("smiles").alias("field"), "id", F.col("rep").alias("r"))
@@ -148,7 +152,7 @@ def cross_split_classes(spark, d):
     sets = written(stretch_sets(p).where(F.size("tokens") > 0).join(p.select(F.col("protein_id").alias("id"), F.col("part").alias("split"), "source"), "id"), "tokens")
     side = {t: sets.where((F.col("split") == "train") == F.lit(t)) for t in (False, True)}
     reps, members = zip(*(distinct_sets(side[t].select("id", "tokens")) for t in (False, True)))
-    near = cosine_join(*rarity_weights(*reps), least_cosine(PROTEIN_SIMILARITY))
+    near = cosine_join(*rarity_weights(*reps), least_cosine(PROTEIN_SIMILARITY), scaled=True)
     n = [r.select(F.col("id").alias(c), F.size("tokens").alias(f"n{c}")) for r, c in zip(reps, "lr")]
     close = near.join(n[0], "l").join(n[1], "r").where(F.col("shared") >= PROTEIN_SIMILARITY * (F.col("nl") + F.col("nr") - F.col("shared")))
     field = F.lit("sequences").alias("field")

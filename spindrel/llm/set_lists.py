@@ -17,10 +17,9 @@ from spindrel.llm.set_tokens import mixed, ones
 
 #: Postings that a bucket holds on average, at most; sets that one token may bring together in one list (more go in blocks, block
 #: against block); rows, list members and pairs that a task handles at a time.
-BUCKET, BLOCK, ROWS, SLAB, PAIRS = 1_000_000, 4096, 2_000, 200_000, 1_000_000
+BUCKET, BLOCK, ROWS, SLAB, PAIRS = 1_000_000, 4096, 1_000, 100_000, 400_000
 #: Bits of bitmaps; a set gets the least width that is three times its size, the last one any size.
 WIDTHS = (1024, 4096, 16384, 65536)
-_MASK = np.uint64((1 << 63) - 1)
 
 
 def expand(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -93,7 +92,7 @@ class Bitmaps:
         kind = np.minimum(self.kind[i], self.kind[j])
         for k, (at, words, spare) in enumerate(zip(self.at, self.words, self.spare)):
             mine = np.flatnonzero(kind == k)
-            step = max(1, 50_000_000 // words.shape[1] // 8)
+            step = max(1, 16_000_000 // words.shape[1] // 8)
             for lo in range(0, len(mine), step):
                 m = mine[lo : lo + step]
                 a, b = at[i[m]], at[j[m]]
@@ -135,7 +134,7 @@ def bucketed(owner: np.ndarray, key: np.ndarray, values: dict[str, np.ndarray],
     owner, bucket, key = owner[order], bucket[order], key[order]
     new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])])) if len(owner) else np.zeros(0, np.int64)
     offsets = pa.array(np.append(new, len(owner)).astype(np.int32))
-    columns = {"bucket": pa.array(bucket[new].astype(np.int32)), **fixed(owner[new]), "keys": pa.ListArray.from_arrays(offsets, pa.array((key & _MASK).astype(np.int64)))}
+    columns = {"bucket": pa.array(bucket[new].astype(np.int32)), **fixed(owner[new]), "keys": pa.ListArray.from_arrays(offsets, pa.array((key >> np.uint64(33)).astype(np.int32)))}  # lists that share a key only give more to check
     for name, v in values.items():
         columns[name] = pa.ListArray.from_arrays(offsets, pa.array(v[order]))
     return pa.RecordBatch.from_pydict(columns)

@@ -6,15 +6,16 @@ thing that is broadcast. It holds rounded logarithms of counts: enough to put ra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the frequency table, residues of a stretch, and 64-bit words of a bitmap.
-CELLS, STRETCH, WORDS = 1 << 22, 5, 16
+#: Cells of the frequency table and of its ranges, residues of a stretch, and 64-bit words of a bitmap.
+CELLS, RANGE, STRETCH, WORDS = 1 << 22, 1 << 14, 5, 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,37 +56,55 @@ def ones(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words).sum(axis=-1, dtype=np.int64)
 
 
-def frequency_table(sets: DataFrame) -> np.ndarray:
-    """For each cell 0 if no set of ``sets (tokens array<long>)`` has a token there, else 1 + 8 log2(count), rounded up, as a byte.
-    Counts cover all rows; partitions add up their own cells before anything moves."""
+def level_of(count: np.ndarray) -> np.ndarray:
+    """0 for cells without a count, else 1 + 8 log2(count), rounded up, at most 255."""
+    with np.errstate(divide="ignore"):
+        return np.where(count > 0, np.minimum(255, 1 + np.ceil(8 * np.log2(count))), 0).astype(np.uint8)
+
+
+def cell_table(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], None], tops: int = 0) -> np.ndarray:
+    """``1 + tops`` rows of ``CELLS`` bytes: levels of counts, and largest values. ``add(counts, tops, batch)`` enters a batch of
+    ``rows``. Partitions add up their own cells, ranges of cells are added up apart, each as one compressed row a partition, and
+    ``CELLS`` bytes a row of the table reach the driver, however many rows there are."""
+    spark, parts = rows.sparkSession, CELLS // RANGE
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS, np.int32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, top = np.zeros(CELLS, np.int64), np.zeros((tops, CELLS), np.uint8)
         for b in batches:
-            if len(b):
-                total += np.bincount(cell_of(np.concatenate(b["tokens"].to_numpy())), minlength=CELLS).astype(np.int32)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 18):
-            part = at[i : i + (1 << 18)]
-            yield pd.DataFrame({"cell": part.astype(np.int32), "n": total[part].astype(np.int64)})
-
-    cells = sets.select("tokens").where(F.size("tokens") > 0).mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    level = F.least(F.lit(255), F.lit(1) + F.ceil(F.lit(8.0) * F.log2("n"))).cast("int")
-    table = np.zeros(CELLS, np.uint8)
-    # As ranges of cells, packed to bytes where they are counted: CELLS bytes reach the driver, however many rows there are.
-    width = 1 << 14
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = np.zeros(width, np.uint8)
-        part[pdf["cell"].to_numpy() & (width - 1)] = pdf["level"].to_numpy()
-        return pd.DataFrame({"range": [int(pdf["cell"].iloc[0]) // width], "bytes": [part.tobytes()]})
-
-    packed = cells.select("cell", level.alias("level")).groupBy(F.shiftright("cell", 14)).applyInPandas(pack, "range int, bytes binary")
-    for r in packed.collect():
-        table[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(bytes(r["bytes"]), np.uint8)
+            for lo in range(0, len(b), 2_000):
+                add(counts, top, b.slice(lo, 2_000))
+        live = np.flatnonzero(counts.reshape(parts, RANGE).any(axis=1))
+        pack = lambda k: zlib.compress(counts[k * RANGE : (k + 1) * RANGE].tobytes(), 1)
+        for lo in range(0, len(live), 64):
+            of = live[lo : lo + 64].tolist()
+            yield pa.RecordBatch.from_pydict({"range": pa.array(of, pa.int32()), "n": pa.array([pack(k) for k in of], pa.binary()), "top": pa.array([zlib.compress(top[:, k * RANGE : (k + 1) * RANGE].tobytes(), 1) for k in of], pa.binary())})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for k, c, t in zip(b.column("range").to_pylist(), b.column("n").to_pylist(), b.column("top").to_pylist()):
+                c, t = np.frombuffer(zlib.decompress(c), np.int64), np.frombuffer(zlib.decompress(t), np.uint8)
+                held[k] = [held[k][0] + c, np.maximum(held[k][1], t)] if k in held else [c, t]
+        yield pa.RecordBatch.from_pydict({"range": pa.array(list(held), pa.int32()), "bytes": pa.array([level_of(c).tobytes() + t.tobytes() for c, t in held.values()], pa.binary())})
+
+    table = np.zeros((1 + tops, CELLS), np.uint8)
+    ranges = rows.mapInArrow(count, "range int, n binary, top binary").repartitionById(n, F.pmod("range", F.lit(n)).cast("int"))
+    for r in ranges.mapInArrow(total, "range int, bytes binary").collect():
+        table[:, r["range"] * RANGE : (r["range"] + 1) * RANGE] = np.frombuffer(bytes(r["bytes"]), np.uint8).reshape(1 + tops, RANGE)
     return table
 
 
+def frequency_table(sets: DataFrame) -> np.ndarray:
+    """For each cell the level of how many sets of ``sets (tokens array<long>)`` have a token there. Counts cover all rows."""
+
+    def add(counts: np.ndarray, _: np.ndarray, b: pa.RecordBatch) -> None:
+        at, n = np.unique(cell_of(b.column("tokens").flatten().to_numpy(zero_copy_only=False)), return_counts=True)
+        counts[at] += n
+
+    return cell_table(sets.select("tokens").where(F.size("tokens") > 0), add)[0]
+
+
 def most(level: np.ndarray) -> np.ndarray:
     """The greatest count that a level of the table stands for."""
     return np.where(level == 0, 0.0, np.exp2((level.astype(np.float64) - 1) / 8))
