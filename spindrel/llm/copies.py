@@ -1,7 +1,7 @@
 """Duplicates hidden by formatting differences.
 
-Recursive radix partitioning on canonical bytes: a bucket is a prefix of the canonical bytes; buckets that hold too much are split
-by further bytes until each fits; each bucket's texts are then counted in a trie with counters where a text ends. Texts are counted
+Recursive radix partitioning on canonical bytes: ranges of the bytes go to one task each; a bucket that holds too much is split by
+further bytes until each fits; each bucket's texts are then counted in a trie with counters where a text ends. Texts are counted
 within partitions first, so a text with any number of copies moves as one row a partition.
 """
 
@@ -82,56 +82,61 @@ class Trie:
                     stack.append((prefix + k, v))
 
 
-def oversized_prefixes(partial: DataFrame, bucket_rows: int = BUCKET_ROWS) -> set[bytes]:
-    """Prefixes whose buckets hold more than ``bucket_rows`` partial counts and can be split further. Each level reads only what
-    the level before left too large; there are fewer than rows / bucket_rows of them at a level."""
-    found: set[bytes] = set()
-    level = [b""] if partial.limit(bucket_rows + 1).count() > bucket_rows else []
-    spark, depth = partial.sparkSession, 0
-    while level:
-        found.update(level)
-        part = F.broadcast(spark.createDataFrame([(bytearray(p),) for p in level], "p binary"))
-        rows = partial.where(F.length("key") > depth).withColumn("p", F.substring("key", 1, depth)) if depth else partial.where(F.length("key") > 0).withColumn("p", F.lit(b"").cast("binary"))
-        depth += STEP
-        big = rows.join(part, "p", "left_semi").withColumn("q", F.substring("key", 1, depth)).where(F.length("key") > depth).groupBy("q").count().where(F.col("count") > bucket_rows)
-        level = [bytes(r["q"]) for r in big.select("q").collect()]
-    return found
+def split_bucket(rows: list[tuple[bytes, int, int]], depth: int, most: int) -> Iterator[list[tuple[bytes, int, int]]]:
+    """The buckets of ``rows (key, n, lo)``, whose keys have their first ``depth`` bytes in common: as they are where they fit, else
+    split by their next bytes, after those that all share, and so on. Keys that end there come first, with one text a bucket."""
+    stack = [(rows, depth)]
+    while stack:
+        rows, depth = stack.pop()
+        if len(rows) <= most:
+            yield rows
+            continue
+        low, high = min(r[0] for r in rows), max(r[0] for r in rows)
+        if low == high:
+            yield rows  # one text, however often: a counter
+            continue
+        while low[depth : depth + STEP] == high[depth : depth + STEP]:
+            depth += STEP
+        parts: dict[bytes, list[tuple[bytes, int, int]]] = {}
+        for r in rows:
+            parts.setdefault(r[0][depth : depth + STEP], []).append(r)
+        stack += [(parts[k], depth + STEP if len(k) == STEP else depth) for k in sorted(parts, reverse=True)]
 
 
 def counted_texts(keys: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``(key, n, lo)``: each canonical text once, with the number of its copies and their smallest id. ``keys``: ``(id, key)``."""
+    """``(key, n, lo)``: each canonical text once, with the number of its copies and their smallest id. ``keys``: ``(id, key)``.
+
+    The first partitioning is by ranges of the bytes, as many as the session has shuffle partitions, cut by Spark from a sample of
+    partial counts; equal texts always share one. Within its task a range is split by further bytes until each bucket fits. No list of
+    buckets leaves its task.
+    """
     partial = written(keys.mapInPandas(_partial, "key binary, n long, lo long"), "counts")
-    split = oversized_prefixes(partial, bucket_rows)
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k in b["key"]:
-                d = 0
-                while d <= len(k) and k[:d] in split:
-                    d += STEP
-                out.append(k[:d])
-            yield b.assign(bucket=out)
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, trie = None, Trie()
+        held: list[tuple[bytes, int, int]] = []
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame(list(trie.items()), columns=["key", "n", "lo"])
+        def out(rows: list[tuple[bytes, int, int]]) -> Iterator[pd.DataFrame]:
+            for bucket in split_bucket(rows, 0, bucket_rows):
+                trie = Trie()
+                for r in bucket:
+                    trie.add(*r)
+                yield pd.DataFrame(list(trie.items()), columns=["key", "n", "lo"])
 
         for b in batches:
-            for k, m, lo, where in zip(b["key"], b["n"].tolist(), b["lo"].tolist(), b["bucket"]):
-                if where != at:
-                    if at is not None:
-                        yield out()
-                    at, trie = where, Trie()
-                trie.add(k, m, lo)
-        if at is not None:
-            yield out()
-
-    placed = partial.mapInPandas(bucket, "key binary, n long, lo long, bucket binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return placed.mapInPandas(count, "key binary, n long, lo long")
+            held += zip(b["key"], b["n"].tolist(), b["lo"].tolist())
+            # Rows come in the order of their bytes, so all but the last text are complete.
+            if len(held) > 4 * bucket_rows:
+                last = held[-1][0]
+                done = len(held)
+                while done and held[done - 1][0] == last:
+                    done -= 1
+                yield from out(held[:done])
+                held = held[done:]
+        if held:
+            yield from out(held)
+
+    return partial.repartitionByRange(n, "key").sortWithinPartitions("key").mapInPandas(count, "key binary, n long, lo long")
 
 
 def collapsed(records: DataFrame, id_col: str, text_col: str, form: Callable[[str | None], str | None] = canonical) -> DataFrame:

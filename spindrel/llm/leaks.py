@@ -38,7 +38,7 @@ class Passage:
 
 
 class LeakFinder:
-    """The automaton and the check of what it hits; built once a task."""
+    """The automaton and the check of what it hits."""
 
     def __init__(self, items: Sequence[tuple[int, str]], leak_words: int = LEAK_WORDS) -> None:
         same: dict[tuple[str, ...], Passage] = {}
@@ -58,7 +58,8 @@ class LeakFinder:
             self.automaton.make_automaton()
 
     def scan(self, text: str | None, x0: np.ndarray | None = None, y0: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
-        """``(item, words, start, end)`` of the passages that ``text`` leaks, with offsets in ``text`` as delivered."""
+        """``(item, words, start, end)`` of the passages that ``text`` leaks, from the first to behind the last of their letters in ``text``
+        as delivered (or, where columns were delivered in another order, of the lines that hold them)."""
         if not text or not len(self.automaton):
             return []
         parts = segments(text, x0, y0)
@@ -69,7 +70,7 @@ class LeakFinder:
             return []
         ends = list(accumulate(len(x) for x in folded))
         back: list[str] | None = None
-        best: dict[int, tuple[int, int, int]] = {}
+        best: dict[int, tuple[int, int, int, int, int]] = {}
         done: dict[int, tuple[int, int, int]] = {}
         for last, (size, at) in hits:
             first = last + 1 - size
@@ -84,19 +85,36 @@ class LeakFinder:
                 n = bisect_right(ends, last)
                 right, to_line, to = follow(folded, n, last + 1 - ends[n] + len(folded[n]), p.words, z)
                 m = bisect_right(ends, first)
-                left, from_line, _ = follow(back, len(folded) - 1 - m, ends[m] - first, p.reversed, len(p.words) - w)
+                left, from_line, before = follow(back, len(folded) - 1 - m, ends[m] - first, p.reversed, len(p.words) - w)
                 found = z - w + right + left
                 done[k] = (ends[to_line] - len(folded[to_line]) + to - 1, w - left, z + right)
                 if found > best.get(k, (0,))[0]:
-                    best[k] = (found, len(folded) - 1 - from_line, to_line)
+                    best[k] = (found, len(folded) - 1 - from_line, len(folded[len(folded) - 1 - from_line]) - before, to_line, to)
         out = []
-        for k, (found, lo, hi) in best.items():
+        for k, (found, lo, first, hi, last) in best.items():
             if found >= self.leak_words:
-                start, end = min(a for a, _ in parts[lo : hi + 1]), max(b for _, b in parts[lo : hi + 1])
+                begin, _ = letter(text, *parts[lo], first)
+                _, stop = letter(text, *parts[hi], last - 1)
+                start, end = min(begin, *(a for a, _ in parts[lo + 1 : hi + 1]), stop), max(begin, *(b for _, b in parts[lo:hi]), stop)
                 out += [(i, found, start, end) for i in self.passages[k].items]
         return out
 
 
+def letter(text: str, a: int, b: int, k: int) -> tuple[int, int]:
+    """Where in ``text`` the ``k``-th folded letter of ``text[a:b]`` begins and ends."""
+    lo, hi = a + 1, b
+    while lo < hi:  # the fold of a longer beginning is never shorter
+        mid = (lo + hi) // 2
+        if len(fold(text[a:mid])) > k:
+            hi = mid
+        else:
+            lo = mid + 1
+    end = lo
+    while end < b and fold(text[end]) and len(fold(text[a : end + 1])) == k + 1:
+        end += 1  # the second of a pair that reads like one letter
+    return lo - 1, end
+
+
 def follow(lines: list[str], n: int, at: int, words: Sequence[str], w: int) -> tuple[int, int, int]:
     """How many of ``words`` from the ``w``-th on go on at place ``at`` of line ``n``, with the line and place where they end. Words
     broken at a line's end are joined; lines that don't go on are passed over, however many; see ``SURE``."""
@@ -179,6 +197,18 @@ def alike(text: str, at: int, word: str, most: int | None = None) -> int | None:
     return best if row[best] <= most else None
 
 
+_finders: dict[tuple, LeakFinder] = {}
+
+
+def finder_of(items: Sequence[tuple[int, str]], leak_words: int) -> LeakFinder:
+    """The automaton, built once a process for the same test set."""
+    key = (leak_words, len(items), hash(tuple(items)))
+    if key not in _finders:
+        _finders.clear()
+        _finders[key] = LeakFinder(items, leak_words)
+    return _finders[key]
+
+
 def leaks(documents: DataFrame, items: DataFrame, leak_words: int = LEAK_WORDS) -> DataFrame:
     """``(doc_id, item_id, n_words, start_pos, end_pos)``: pages that hold ``leak_words`` or more consecutive words of a passage.
 
@@ -192,7 +222,7 @@ def leaks(documents: DataFrame, items: DataFrame, leak_words: int = LEAK_WORDS)
     passages = documents.sparkSession.sparkContext.broadcast([(r["item_id"], r["passage"]) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = LeakFinder(passages.value, leak_words)
+        finder = finder_of(passages.value, leak_words)
         for b in batches:
             out: list[tuple] = []
             for i, t, x, y in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), ints(b["x0"]), ints(b["y0"])):

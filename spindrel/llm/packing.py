@@ -8,6 +8,7 @@ the number of texts; texts then find their pattern by their rank among texts of
 from __future__ import annotations
 
 import base64
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from spindrel.session import written
 
-#: Tokens of a container, where the vocabulary lies, and slices in which texts of one length are ranked.
-CAPACITY, VOCABULARY, SLICES = 2048, "/opt/tokenizers/byte_bpe_50k.tiktoken", 64
+#: Tokens of a container, where the vocabulary lies (a file that every executor sees, or one sent by ``SparkContext.addFile``), and texts
+#: of one length that are ranked together, about.
+CAPACITY, VOCABULARY, RANKED = 2048, "/opt/tokenizers/byte_bpe_50k.tiktoken", 50_000
 # Fixed value: how this public vocabulary's tokenizer parts text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters that are encoded at a time; longer texts are parted before a blank between words, which no token spans.
@@ -32,10 +34,14 @@ def encoding(path: str):
     """The tokenizer, read once a process."""
     if path not in _encodings:
         import tiktoken
+        from pyspark import SparkFiles
+
+        sent = SparkFiles.get(os.path.basename(path))
+        path, key = (sent if os.path.exists(sent) else path), path
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encodings[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path]
 
 
@@ -124,9 +130,14 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
     split = counted.select("doc_id", n, F.explode(F.sequence(F.lit(0), F.floor((n - 1) / capacity).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * capacity
     pieces = split.select("doc_id", "piece", start.alias("token_start"), F.least(n, start + capacity).alias("token_end"))
-    pieces = pieces.withColumn("length", (F.col("token_end") - F.col("token_start")).cast("int")).withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int"))
+    pieces = pieces.withColumn("length", (F.col("token_end") - F.col("token_start")).cast("int"))
     pieces = written(pieces, "pieces")
-    # At most capacity x SLICES rows, whatever the number of texts.
+    # A length is ranked in as many slices as its texts need; a row a length, then a row a slice, reach the driver.
+    n_of = [0] * (capacity + 1)
+    for r in pieces.groupBy("length").count().collect():
+        n_of[r["length"]] = -(-r["count"] // RANKED)
+    slices = F.element_at(F.array(*[F.lit(max(1, x)) for x in n_of]), F.col("length") + 1)
+    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), slices).cast("int"))
     sliced = pieces.groupBy("length", "slice").count().toPandas().sort_values(["length", "slice"])
     sliced["first"] = sliced.groupby("length")["count"].cumsum() - sliced["count"]
     histogram = {int(k): int(v) for k, v in sliced.groupby("length")["count"].sum().items()}

@@ -42,6 +42,20 @@ class SparseTable:
         return b if self.s[b] >= self.s[a] else a
 
 
+    def all_from(self, least: int) -> list[int]:
+        """All positions of a strength of ``least`` or more, by range maxima: the best of a range, then of what lies before and behind."""
+        out, stack = [], [(0, len(self.s) - 1)]
+        while stack:
+            lo, hi = stack.pop()
+            if lo > hi:
+                continue
+            at = self.best(lo, hi)
+            if self.s[at] >= least:
+                out.append(at)
+                stack += [(lo, at - 1), (at + 1, hi)]
+        return sorted(out)
+
+
 def chain_starts(text: str) -> tuple[str, list[int]]:
     """Residues of a cell in upper case, and where chains start: after each mark that isn't white space, a digit, a gap or a stop.
     Chains without residues don't count."""
@@ -70,7 +84,7 @@ def strengths(residues: str, starts: Sequence[int]) -> np.ndarray:
     return s
 
 
-def pieces(strength: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, natural: int = CHAIN_END) -> list[tuple[int, int, int]]:
+def pieces(strength: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, natural: int = CHAIN_END, table: SparseTable | None = None) -> list[tuple[int, int, int]]:
     """``(start, end, strength of the cut at its end)`` of consecutive pieces of at most ``limit``. Cuts of strength ``natural`` or
     more leave no overlap; after others the next piece starts ``overlap`` earlier, never before the last natural cut."""
     n = len(strength) - 1
@@ -80,7 +94,7 @@ def pieces(strength: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, nat
         raise ValueError("the overlap must be smaller than the limit")
     if n <= limit:
         return [(0, n, int(strength[n]))]
-    table, out, start, floor = SparseTable(strength), [], 0, 0
+    table, out, start, floor = table or SparseTable(strength), [], 0, 0
     while True:
         if n - start <= limit:
             out.append((start, n, int(strength[n])))
@@ -122,7 +136,10 @@ def cut_proteins(proteins: DataFrame, residues: DataFrame, limit: int = LIMIT, o
                     continue
                 if changes is not None:
                     starts = sorted({*starts, *(int(x) for x in changes if 0 < x < len(seq))})
-                found = pieces(strengths(seq, starts), limit, overlap)
+                s = strengths(seq, starts)
+                table = SparseTable(s)
+                found = pieces(s, limit, overlap, table=table)
+                starts = [0, *(x for x in table.all_from(CHAIN_END) if 0 < x < len(seq))]
                 number = np.searchsorted(starts, [s for s, _, _ in found], side="right") - 1
                 rows += [(i, k, int(c), s, e, seq[s:e], w >= CHAIN_END, starts) for k, ((s, e, w), c) in enumerate(zip(found, number))]
             yield pd.DataFrame(rows, columns=["id", "piece", "chain_no", "start", "end", "residues", "natural", "chains"])

@@ -7,6 +7,7 @@ same steps until it fits one task. Components are then dealt to the splits in th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
@@ -17,8 +18,8 @@ from spindrel.session import dropped, written
 
 #: Edges up to which a graph of labels is solved in one task (two longs each, so some 32 MB).
 ONE_TASK_EDGES = 1_000_000
-#: Hubs that the records of one key are spread over, so that no adjacency list holds all records of a hot key.
-SUB_HUBS = 1024
+#: Components larger than this part of the smallest split are placed before all others.
+LARGE = 1 / 10
 
 
 def star_links(keyed: DataFrame) -> DataFrame:
@@ -26,9 +27,11 @@ def star_links(keyed: DataFrame) -> DataFrame:
     keys don't link.
 
     Every record is linked to the smallest record in its slice of the key, and that one to the smallest of the key: a record gives
-    one link at most, and no record has more than its slice or ``SUB_HUBS`` of them. All joins are on the sliced key.
+    one link at most. There are as many slices as the root of the number of rows, so neither a slice of a key that all rows have
+    nor the slices of it are more. All joins are on the sliced key.
     """
-    k = keyed.where("id is not null and key is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SUB_HUBS)))
+    k = written(keyed.where("id is not null and key is not null"), "keys")
+    k = k.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, math.isqrt(k.count())))))
     hubs = k.groupBy("kind", "key", "part").agg(F.min("id").alias("hub"))
     roots = hubs.groupBy("kind", "key").agg(F.min("hub").alias("root"), F.count("*").alias("n"))
     up = hubs.join(roots.where("n > 1"), ["kind", "key"]).where("hub <> root").select(F.col("hub").alias("src"), F.col("root").alias("dst"))
@@ -73,17 +76,24 @@ def connected_components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES)
     deg = written(adj.groupBy("src").agg(F.count("*").alias("deg")).select("src", rank.alias("rank")), "degrees")
     best = adj.join(deg.withColumnRenamed("src", "dst"), "dst").groupBy("src").agg(F.max("rank").alias("best"))
     seeds = deg.join(best, "src").where("rank >= best").select(F.col("src").alias("id"), F.col("src").alias("label"))
+    # Links to nodes that have a label are dropped as the search goes on, so a round reads only what is left.
     frontier = written(seeds, "frontier")
-    seen, old = frontier, []
+    reached, left = [frontier], adj
     while True:
-        reached = frontier.join(adj, frontier["id"] == adj["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
-        fresh = written(reached.join(seen.select("id"), "id", "left_anti"), "frontier")
+        after = written(left.join(frontier.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "left")
+        if left is not adj:
+            dropped(left)
+        left = after
+        fresh = written(frontier.join(left, frontier["id"] == left["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label")), "frontier")
         if fresh.isEmpty():
             break
-        old.append(fresh)
-        frontier, seen = fresh, seen.unionByName(fresh)
-    labels = written(seen, "labels")
-    for x in [*old, deg]:
+        reached.append(fresh)
+        frontier = fresh
+    labels = reached[0]
+    for x in reached[1:]:
+        labels = labels.unionByName(x)
+    labels = written(labels, "labels")
+    for x in [*reached, deg, left]:
         dropped(x)
     # Trees that touch: links whose ends have different labels.
     a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("la")), labels.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
@@ -112,8 +122,9 @@ def grouped_split(groups: DataFrame, proportions: Sequence[tuple[str, float]] =
     """``(id, component, split)``: whole components dealt to the splits in the order of their hashes, so that the splits' sizes are
     near the given proportions.
 
-    Components that are large against the smallest split (over a fiftieth of it; a bounded number) are placed first, largest first,
-    each where most is missing. The others fill what is left: hashes fall into ``bins`` ranges, the totals of which (a fixed number
+    All components are dealt in the order of their hashes but for those over a tenth of the smallest split (``LARGE``; fewer than
+    ten times the rows over it): wherever their hash fell, they would move a boundary by as much, so they are placed first,
+    largest first, each where most is missing. The others fill what is left: hashes fall into ``bins`` ranges, the totals of which (a fixed number
     of rows) give the ranges' starts; within its range a component starts after those with smaller hashes. No sort of all
     components in one task. An empty table gives an empty one.
     """
@@ -122,7 +133,7 @@ def grouped_split(groups: DataFrame, proportions: Sequence[tuple[str, float]] =
     share = [w / weight for _, w in proportions]
     sizes = written(groups.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    limit = max(1.0, total * min(s for s in share if s > 0) / 50)
+    limit = max(1.0, total * min(s for s in share if s > 0) * LARGE)
     left = [total * s for s in share]
     placed = []
     for r in sizes.where(F.col("n") > limit).orderBy(F.desc("n"), "component").collect():  # fewer than total / limit rows

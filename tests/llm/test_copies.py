@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from spindrel.functions.smiles import canonical
-from spindrel.llm.copies import canonical_table, collapsed, copy_pairs, counted_texts, oversized_prefixes, Trie
+from spindrel.llm.copies import canonical_table, collapsed, copy_pairs, counted_texts, split_bucket, Trie
 from spindrel.llm.queries import p2_found
 
 
@@ -41,10 +41,13 @@ def test_trie_counts():
     assert sorted(t.items()) == [(b"abcd", 1, 2), (b"abcde", 2, 1)]
 
 
-def test_prefixes_split_only_what_is_too_large(spark):
-    keys = spark.createDataFrame([(bytearray(f"AAAA{i:04d}".encode()), 1, i) for i in range(50)] + [(bytearray(b"B"), 1, 99)], "key binary, n long, lo long")
-    assert oversized_prefixes(keys, 10) == {b"", b"AAAA"}
-    assert oversized_prefixes(keys, 100) == set()
+def test_buckets_are_split_until_they_fit():
+    rows = [(b"AAAA" * 9 + f"{i:04d}".encode(), 1, i) for i in range(50)] + [(b"B", 1, 99)] + [(b"AAAA", 1, i) for i in range(30)] + [(b"", 1, 7)]
+    got = list(split_bucket(rows, 0, 10))
+    assert sorted(r for b in got for r in b) == sorted(rows)
+    assert all(len(b) <= 10 or len({r[0] for r in b}) == 1 for b in got) and len(got) <= 55
+    assert [len({r[0] for r in b}) for b in got if len(b) == 30] == [1]
+    assert list(split_bucket(rows, 0, 100)) == [rows]
 
 
 def test_found_like_brute_force(spark, sf):

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from spindrel.llm.leaks import LeakFinder, alike, leaks
+from spindrel.llm.leaks import LeakFinder, alike, leaks, letter
 from spindrel.llm.page_text import fold, segments
 
 PASSAGE = "No ferry in Gulldale has been so unexpectedly photographed as the bitter embankment beyond the petition. Why was the museum promptly opened by leaking inspectors, and who discussed the damaged charter outside Stonemere?"
@@ -29,7 +29,7 @@ def test_case_punctuation_and_misread_letters():
 def test_broken_words_and_adverts():
     t = "Then no ferry in Gulldale has been so unexpec-\ntedly photographed as the bit¬\nNONE BETTER THAN KESTWELL SOAP\nBox 12, this paper\nter embankment beyond the petition. Why\nwas the museum promptly closed."
     got = found(t)
-    assert got and got[0][1] >= 20 and t[got[0][2] :].startswith("Then no ferry")
+    assert got and got[0][1] >= 20 and t[got[0][2] : got[0][3]].startswith("no ferry") and t[: got[0][3]].endswith("the museum promptly")
 
 
 def test_columns_in_mixed_order_and_joined():
@@ -74,3 +74,16 @@ def test_too_many_items(spark, monkeypatch):
     items = spark.createDataFrame([(7, PASSAGE), (8, "b")], "item_id long, passage string")
     with pytest.raises(ValueError):
         leaks(spark.createDataFrame([], "doc_id long, text string, lines array<struct<x0 int, y0 int>>"), items)
+
+
+def test_offsets_are_those_of_the_passage():
+    for before, after in (("", ""), ("Before this; ", " Afterwards nothing."), ("\n\n x ", "!!\nclosing"), ("rn cl ", "")):
+        core = " ".join(WORDS[3:24])
+        t = before + core + after
+        (_, n, a, b), = found(t)
+        assert n == 21 and t[a:b] == core.rstrip(",.?")
+
+
+def test_letters_of_pairs():
+    t = "a, cl-rn?b"
+    assert [t[slice(*letter(t, 0, len(t), k))] for k in range(len(fold(t)))] == ["a", "cl", "rn", "b"]

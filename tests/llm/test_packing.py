@@ -52,7 +52,7 @@ def check(rows, capacity, sizes):
 
 
 def test_packed_on_spark(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SLICES", 3)
+    monkeypatch.setattr(packing, "RANKED", 3)
     enc = encoding(VOCABULARY)
     docs = [(i, "word " * (i % 37) + "end", "x", 1) for i in range(200)] + [(1000, "many words " * 300, "", 0), (1001, None, "", 0), (1002, "", "", 0)]
     sizes = {i: len(enc.encode_ordinary(t)) if t else 0 for i, t, _, _ in docs}
