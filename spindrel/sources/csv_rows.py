@@ -1,126 +1,158 @@
 """Loading physical CSV lines, parted into typed rows and rejected lines with their reason.
 
 Structural indexing: the bytes of a whole Arrow batch lie in one buffer; a mask of quotes and the parity of its running sum tell
-which commas delimit fields, and line offsets where records end. Counts and types are then checked by column.
+which commas delimit fields, and line offsets where records end. Quotes, counts and types are then checked column by column, on
+Arrow arrays; only SMILES go through a parser, text by text.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrel.functions.smiles import problem
 
-NUMERIC = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", re.ASCII)
 REASONS = ("quoting", "column_count", "bad_smiles", "bad_target")
-FIELDS = ("smiles", "name", "solubility", "affinity", "toxic", "assay")
-
-
-def structural_index(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Field bounds of all lines at once: (start, end, line of each field, whether each line's quotes close)."""
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    ends = np.cumsum(sizes + 1)
-    starts = ends - sizes - 1
-    buf = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
-    seen = np.cumsum(buf == 34, dtype=np.int64)
-    before = np.concatenate([[0], seen])
-    line_of = np.repeat(np.arange(len(lines)), sizes + 1)
-    odd = (before[:-1] - before[starts][line_of]) & 1
-    closed = ((before[ends - 1] - before[starts]) & 1) == 0
-    is_end = np.zeros(len(buf), bool)
-    is_end[ends - 1] = True
-    cut = np.flatnonzero(((buf == 44) & (odd == 0)) | is_end)
-    field_line = line_of[cut]
-    field_start = np.concatenate([[0], cut[:-1] + 1])
-    return field_start, cut, field_line, closed
-
-
-def _unquoted(raw: bytes) -> tuple[str, bool]:
-    """The value of a field and whether its quotes are well placed."""
-    s = raw.decode("utf-8", "replace").strip()
-    if '"' not in s:
-        return s, True
-    if len(s) < 2 or s[0] != '"' or s[-1] != '"':
-        return s, False
-    inner = s[1:-1]
-    return inner.replace('""', '"').strip(), '"' not in inner.replace('""', "")
-
-
-def check_lines(lines: list[str | None]) -> tuple[list[list[str] | None], list[str | None]]:
-    """Fields of the valid lines (None otherwise) and reasons of the rejected ones (None otherwise); skipped lines have neither."""
-    data = [(x or "").encode("utf-8", "surrogatepass") for x in lines]
-    if not data:
-        return [], []
-    start, end, line, closed = structural_index(data)
-    buf = b"\n".join(data) + b"\n"
-    first = np.searchsorted(line, np.arange(len(data)))
-    last = np.searchsorted(line, np.arange(len(data)), side="right")
-    rows: list[list[str] | None] = []
-    reasons: list[str | None] = []
-    for k in range(len(data)):
-        cells = [_unquoted(buf[start[j] : end[j]]) for j in range(first[k], last[k])]
-        values = [v for v, _ in cells]
-        reason = None
-        if not closed[k] or not all(ok for _, ok in cells):
-            reason = "quoting"
-        elif not any(values):
-            rows.append(None)
-            reasons.append(None)
-            continue
-        elif len(values) != len(FIELDS):
-            reason = "column_count"
-        elif problem(values[0]) is not None:
-            reason = "bad_smiles"
-        elif any(v and not NUMERIC.fullmatch(v) for v in values[2:4]) or values[4] not in ("", "0", "1"):
-            reason = "bad_target"
-        rows.append(None if reason else values)
-        reasons.append(reason)
-    return rows, reasons
-
-
-_SCHEMA = "raw_id long, smiles string, name string, solubility double, affinity double, toxic int, assay string, reason string"
-
-
-def parted_rows(raw: DataFrame, id_col: str = "raw_id", line_col: str = "raw_line") -> DataFrame:
-    """One row for each line that isn't empty: typed fields and a null ``reason``, or null fields and the first reason that applies.
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+#: Kinds of fields: Spark type, and the reason that a value of another kind gives.
+KINDS = {"smiles": ("string", "bad_smiles"), "text": ("string", None), "number": ("double", "bad_target"), "flag": ("int", "bad_target")}
+
+
+@dataclass(frozen=True)
+class Field:
+    """A column of the files: ``smiles`` (never empty), ``text``, ``number`` or ``flag`` (0 or 1); the others may be empty, and are null then."""
+
+    name: str
+    kind: str = "text"
+
+
+FIELDS = (Field("smiles", "smiles"), Field("name"), Field("solubility", "number"), Field("affinity", "number"), Field("toxic", "flag"), Field("assay"))
+
+
+def structural_index(lines: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """All fields of all lines in order, how many each line has, and whether its quotes close. Nulls are empty lines."""
+    lines = lines.fill_null("").cast(pa.large_string())
+    n = pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(n)])
+    offset = int(np.frombuffer(lines.buffers()[1], np.int64)[lines.offset]) if len(lines) else 0
+    buf = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offset : offset + at[-1]]
+    quotes = np.concatenate([[0], np.cumsum(buf == 34, dtype=np.int64)])
+    closed = ((quotes[at[1:]] - quotes[at[:-1]]) & 1) == 0
+    comma = np.flatnonzero(buf == 44)
+    line = np.searchsorted(at, comma, side="right") - 1
+    delimits = ((quotes[comma] - quotes[at[line]]) & 1) == 0
+    comma, line = comma[delimits], line[delimits]
+    count = 1 + np.bincount(line, minlength=len(n))
+    # Starts and ends rise from field to field, so both can be sorted apart; without its delimiters the buffer holds the fields.
+    size = np.sort(np.concatenate([comma, at[1:]])) - np.sort(np.concatenate([at[:-1], comma + 1]))
+    kept = np.ones(len(buf), bool)
+    kept[comma] = False
+    bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    fields = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), pa.py_buffer(buf[kept].tobytes()))
+    return fields, count, closed
+
+
+def unquoted(fields: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of fields, and whether their quotes are well placed: around the whole field, doubled within."""
+    t = pc.utf8_trim_whitespace(fields)
+    quoted = pc.match_substring(t, '"')
+    some = np.flatnonzero(quoted.to_numpy(zero_copy_only=False))
+    ok = np.ones(len(t), bool)
+    if not len(some):
+        return t, ok
+    q = t.take(pa.array(some))
+    whole = pc.and_(pc.and_(pc.starts_with(q, '"'), pc.ends_with(q, '"')), pc.greater_equal(pc.binary_length(q), 2))
+    inner = pc.utf8_slice_codeunits(q, 1, -1)
+    single = pc.match_substring(pc.replace_substring(inner, '""', ""), '"')
+    ok[some] = pc.and_(whole, pc.invert(single)).to_numpy(zero_copy_only=False)
+    return pc.replace_with_mask(t, quoted, pc.utf8_trim_whitespace(pc.replace_substring(inner, '""', '"'))), ok
+
+
+def is_wrong(kind: str, values: pa.Array) -> np.ndarray:
+    """Which values of a column aren't of its kind."""
+    if kind == "smiles":
+        return np.array([problem(x) is not None for x in values.to_pylist()], bool)
+    if kind == "number":
+        return pc.and_(pc.not_equal(values, ""), pc.invert(pc.match_substring_regex(values, _NUMBER))).to_numpy(zero_copy_only=False)
+    if kind == "flag":
+        return pc.invert(pc.is_in(values, pa.array(["", "0", "1"], values.type))).to_numpy(zero_copy_only=False)
+    return np.zeros(len(values), bool)
+
+
+def typed(kind: str, values: pa.Array) -> pa.Array:
+    if kind == "number":
+        return pa.array([float(x) if x else None for x in values.to_pylist()], pa.float64())
+    if kind == "flag":
+        return pa.array([int(x) if x else None for x in values.to_pylist()], pa.int32())
+    return pc.if_else(pc.equal(values, ""), None, values).cast(pa.string())
+
+
+def check_lines(lines: pa.StringArray, fields: Sequence[Field] = FIELDS) -> tuple[np.ndarray, list[pa.Array], np.ndarray, np.ndarray]:
+    """Numbers of the valid lines, their columns as text, numbers of the rejected lines, and which of ``REASONS`` rejects each; skipped
+    lines are in neither."""
+    cells, count, closed = structural_index(lines)
+    values, ok = unquoted(cells)
+    first = np.cumsum(count) - count
+    reason = np.full(len(count), -1)
+    if not len(count):
+        return np.zeros(0, np.int64), [values] * len(fields), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    filled = np.logical_or.reduceat(pc.greater(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), first)
+    bad_quotes = ~closed | ~np.logical_and.reduceat(ok, first)
+    skipped = ~filled & ~bad_quotes
+    reason[count != len(fields)] = 1
+    reason[bad_quotes] = 0
+    left = np.flatnonzero((reason < 0) & ~skipped)
+    columns = [values.take(pa.array(first[left] + j)) for j in range(len(fields))]
+    for want in REASONS[2:]:
+        for f, v in zip(fields, columns):
+            if KINDS[f.kind][1] == want:
+                wrong = is_wrong(f.kind, v)
+                reason[left[wrong & (reason[left] < 0)]] = REASONS.index(want)
+    good = reason[left] < 0
+    rejected = np.flatnonzero((reason >= 0) & ~skipped)
+    return left[good], [c.filter(pa.array(good)) for c in columns], rejected, reason[rejected]
+
+
+def parted_rows(raw: DataFrame, id_col: str = "raw_id", line_col: str = "raw_line", fields: Sequence[Field] = FIELDS) -> DataFrame:
+    """One row for each line that isn't empty: its id, typed ``fields`` and a null ``reason``, or null fields and the first reason that
+    applies.
 
     Null and blank lines, and lines of empty fields only, are skipped. A null id stays null. Repeated lines come out as often as
     they come in; an empty table gives an empty table; other columns of ``raw`` are not read. Lines of any length are checked
     whole. Narrow: no shuffle, one pass.
     """
+    names = np.array(REASONS, object)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        num = lambda v: float(v) if v else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, reasons = check_lines([x if isinstance(x, str) else None for x in b["line"]])
-            out = [
-                (i, v[0], v[1] or None, num(v[2]), num(v[3]), int(v[4]) if v[4] else None, v[5] or None, None) if v else (i, None, None, None, None, None, None, why)
-                for i, v, why in zip(b["id"].tolist(), rows, reasons)
-                if v or why
-            ]
-            df = pd.DataFrame(out, columns=["raw_id", "smiles", "name", "solubility", "affinity", "toxic", "assay", "reason"])
-            yield df.astype({"raw_id": "Int64", "solubility": "float64", "affinity": "float64", "toxic": "Int32"})
-
+            valid, columns, rejected, why = check_lines(b.column("line"), fields)
+            ids = b.column("id")
+            out = {"raw_id": ids.take(pa.array(np.concatenate([valid, rejected]).astype(np.int64)))}
+            for f, c in zip(fields, columns):
+                c = typed(f.kind, c)
+                out[f.name] = pa.concat_arrays([c, pa.nulls(len(rejected), c.type)])
+            out["reason"] = pa.array([None] * len(valid) + names[why].tolist(), pa.string())
+            yield pa.RecordBatch.from_pydict(out)
+
+    schema = ", ".join(["raw_id long", *(f"`{f.name}` {KINDS[f.kind][0]}" for f in fields), "reason string"])
     src = raw.select(F.col(id_col).cast("long").alias("id"), F.col(line_col).cast("string").alias("line"))
-    return src.mapInPandas(run, _SCHEMA)
+    return src.mapInArrow(run, schema)
 
 
-def valid_rows(raw: DataFrame) -> DataFrame:
-    return parted_rows(raw).where("reason is null").drop("reason")
+def valid_rows(raw: DataFrame, fields: Sequence[Field] = FIELDS) -> DataFrame:
+    return parted_rows(raw, fields=fields).where("reason is null").drop("reason")
 
 
-def rejected_rows(raw: DataFrame) -> DataFrame:
-    return parted_rows(raw).where("reason is not null").select("raw_id", "reason")
+def rejected_rows(raw: DataFrame, fields: Sequence[Field] = FIELDS) -> DataFrame:
+    return parted_rows(raw, fields=fields).where("reason is not null").select("raw_id", "reason")
 
 
 def read_csv_lines(spark, path: str) -> DataFrame:
-    """Physical lines of CSV files as ``raw_rows``: ``raw_id`` is the file's hash and line order within Spark's partitions, so it is
-    unique and grows within a file."""
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("raw_id"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw_line")
-    )
+    """Physical lines of CSV files as ``raw_rows``; ``raw_id`` is unique and grows within a part of a file that one task reads."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("raw_id"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw_line"))

@@ -1,5 +1,7 @@
+import pyarrow as pa
+
 from spindrel.functions.smiles import canonical, parse, problem
-from spindrel.sources.csv_rows import check_lines, parted_rows, rejected_rows
+from spindrel.sources.csv_rows import REASONS, Field, check_lines, parted_rows, read_csv_lines, rejected_rows, valid_rows
 
 LINES = [
     ("CCO,ethanol,1.5,-2e3,1,cell", None),
@@ -28,18 +30,31 @@ LINES = [
 ]
 
 
+def checked(lines):
+    valid, columns, rejected, why = check_lines(pa.array(lines, pa.string()))
+    return dict(zip(valid.tolist(), zip(*(c.to_pylist() for c in columns)))), dict(zip(rejected.tolist(), [REASONS[k] for k in why]))
+
+
 def test_reasons_in_order():
-    rows, reasons = check_lines([x for x, _ in LINES])
-    for (line, want), row, why in zip(LINES, rows, reasons):
-        assert why == (None if want == "skip" else want), line
-        assert (row is None) == (want is not None), line
-    assert rows[1] == ["CCO", 'a "b" , c', ".5", "5.", "0", ""]
-    assert check_lines([]) == ([], [])
+    for cut in (0, 1, 5):  # arrays that begin within a buffer, too
+        rows, reasons = checked(pa.array([x for x, _ in LINES], pa.string()).slice(cut).to_pylist())
+        assert reasons == {k: w for k, (_, w) in enumerate(LINES[cut:]) if w not in (None, "skip")}
+        assert set(rows) == {k for k, (_, w) in enumerate(LINES[cut:]) if w is None}
+    valid, columns, rejected, _ = check_lines(pa.array([x for x, _ in LINES], pa.string()).slice(1))
+    assert [c.to_pylist()[0] for c in columns] == ["CCO", 'a "b" , c', ".5", "5.", "0", ""]
+    assert checked([]) == ({}, {})
 
 
 def test_bad_last_field_closes_on_its_own_line():
-    rows, reasons = check_lines(['CCO,a,1,1,1,"x', "CCO,a,1,1,1,x", '"CCO,a,1,1,1,x', "CCO,b,1,1,1,x"])
-    assert reasons == ["quoting", None, "quoting", None]
+    rows, reasons = checked(['CCO,a,1,1,1,"x', "CCO,a,1,1,1,x", '"CCO,a,1,1,1,x', "CCO,b,1,1,1,x"])
+    assert reasons == {0: "quoting", 2: "quoting"} and set(rows) == {1, 3}
+
+
+def test_other_fields(spark):
+    df = spark.createDataFrame([(1, "a,1,CC"), (2, "b,x,CC"), (3, "c,1,C("), (4, "é,,C"), (5, "a,1")], "raw_id long, raw_line string")
+    f = (Field("reason_text"), Field("y", "number"), Field("mol", "smiles"))
+    assert [tuple(r) for r in valid_rows(df, f).orderBy("raw_id").collect()] == [(1, "a", 1.0, "CC"), (4, "é", None, "C")]
+    assert {tuple(r) for r in rejected_rows(df, f).collect()} == {(2, "bad_target"), (3, "bad_smiles"), (5, "column_count")}
 
 
 def test_parted_rows_on_spark(spark):
@@ -72,3 +87,11 @@ def test_parse_and_problem():
     assert parse("C1CC%01")[1][-1][:2] == (0, 2)
     assert problem("") == "empty" and problem("q") == "symbol" and problem("[N+") == "bracket" and problem("C)") == "parenthesis" and problem("C%12C") == "ring"
     assert parse("C(") is None and parse("-") is None
+
+
+def test_lines_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("CCO,a,1,1,1,x\nC(,a,1,1,1,x\n\n")
+    (tmp_path / "b.csv").write_text("CC,b,1,1,,x\n")
+    raw = read_csv_lines(spark, str(tmp_path))
+    assert raw.select("raw_id").distinct().count() == raw.count() == 4
+    assert sorted(r.smiles for r in valid_rows(raw).collect()) == ["CC", "CCO"] and rejected_rows(raw).count() == 1
