@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrel.session import maybe_broadcast
+
 # Residues by their id, and how many of the 61 sense codons stand for each.
 RESIDUES = "GASPVTCILNDQKEMHFRYW"
 CODONS = {"A": 4, "C": 2, "D": 2, "E": 2, "F": 2, "G": 4, "H": 2, "I": 3, "K": 2, "L": 6, "M": 1, "N": 2, "P": 4, "Q": 2, "R": 6, "S": 6, "T": 4, "V": 4, "W": 1, "Y": 2}
@@ -56,6 +58,22 @@ def autocorrelation(chain: DataFrame, lags: int, kind: str) -> DataFrame:
     return j.groupBy("graph_id", "lag").agg(e.alias("value"))
 
 
+def standardised(properties: DataFrame, eps: float = 1e-10) -> DataFrame:
+    """``(residue_type, property, x)``: each property less its mean over residues, over its sample deviation; null values are 0 before.
+    A row a residue and property."""
+    v = properties.select("residue_type", "property", F.coalesce("value", F.lit(0.0)).alias("v"))
+    s = v.groupBy("property").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    return v.join(s, "property").select("residue_type", "property", ((F.col("v") - F.col("m")) / (F.col("s") + eps)).alias("x"))
+
+
+def property_autocorrelation(chain: DataFrame, properties: DataFrame, lags: int, kind: str) -> DataFrame:
+    """``(graph_id, property, lag, value)``: :func:`autocorrelation` of every property of :func:`standardised` along chains of residues."""
+    p = standardised(properties)
+    x = chain.select("graph_id", "pos", "residue_type").join(maybe_broadcast(p), "residue_type")
+    out = autocorrelation(x.select(F.struct("graph_id", "property").alias("graph_id"), "pos", "x"), lags, kind)
+    return out.select("graph_id.graph_id", "graph_id.property", "lag", "value")
+
+
 def truncated(chain: DataFrame, length: int, start: Column | None = None) -> DataFrame:
     """The first ``length`` residues of each chain, or those from ``start`` on; positions count from 0 again."""
     s = start if start is not None else F.lit(0).cast("long")

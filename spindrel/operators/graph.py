@@ -204,6 +204,45 @@ def absolute_ids(g: Graphs) -> DataFrame:
     return n.join(g.offsets().select("graph_id", "node_offset"), "graph_id").select("graph_id", "node_id", (F.col("k") + F.col("node_offset")).alias("absolute"))
 
 
+def unpacked(packed: DataFrame, offsets: DataFrame, block: int = 4096) -> DataFrame:
+    """Rows of a packed batch ``(absolute, ...)`` with their graph and their id within it: ``offsets (graph_id, node_offset, num_node)``
+    says where graphs begin. Both sides meet in blocks of the numbering, so no range join is needed; empty graphs hold no row."""
+    o = offsets.where("num_node > 0").select("graph_id", F.col("node_offset").alias("_a"), (F.col("node_offset") + F.col("num_node")).alias("_z"))
+    o = o.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_a") / block), F.floor((F.col("_z") - 1) / block))))
+    j = packed.withColumn("_b", F.floor(F.col("absolute") / block)).join(o, "_b").where("absolute >= _a and absolute < _z")
+    return j.withColumn("node_id", F.col("absolute") - F.col("_a")).drop("_a", "_z", "_b", "absolute")
+
+
+def batches(df: DataFrame, order: str, size: int, shuffle_seed: int | None = None) -> DataFrame:
+    """``df`` with ``batch_id`` and ``place``: batches of ``size`` rows in the order of a unique numeric column, or in a repeatable random
+    one; numbered in ranges, never in one task."""
+    from spindrel.operators.ragged import key_of
+
+    if shuffle_seed is None:
+        d = numbered(df, order, name="_n")
+    else:
+        d = numbered(df.withColumn("_k", key_of(F.lit(shuffle_seed), F.col(order))), "_k", order, "_n").drop("_k")
+    return d.withColumn("batch_id", F.floor(F.col("_n") / size)).withColumn("place", F.col("_n") % size).drop("_n")
+
+
+def at_positions(df: DataFrame, order: str, index: DataFrame) -> DataFrame:
+    """Rows of ``df``, counted from 0 in the order of a unique numeric column, that ``index (pos, at)`` asks for, as often as it does."""
+    return numbered(df, order, name="at").join(index, "at").drop("at")
+
+
+def pooled(parts: list[DataFrame], by: list[str], value: str, how: str = "sum") -> DataFrame:
+    """One aggregate of ``value`` over several tables: ``sum``, ``mean``, ``min``, ``max`` or ``product``."""
+    from functools import reduce
+
+    f = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "product": F.product}[how]
+    return reduce(lambda a, b: a.unionByName(b), [p.select(*by, value) for p in parts]).groupBy(*by).agg(f(value).alias(value))
+
+
+def as_map(table: DataFrame, key: str, value: str, by: list[str]) -> DataFrame:
+    """A dictionary as one map for each of ``by``; for groups that fit a row."""
+    return table.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias("map"))
+
+
 def match(edges: DataFrame, patterns: DataFrame, cols: tuple[str, ...] = ("h", "r", "t"), kinds: list[str] | None = None) -> DataFrame:
     """``(pattern_id, edge columns)`` of the edges that agree with a pattern, -1 standing for anything. One equi-join for each kind
     of pattern (which columns are fixed); a pattern of wildcards only is refused. ``kinds`` names the kinds where they are known, such

@@ -180,6 +180,28 @@ def mincut(edges: DataFrame, soft: DataFrame) -> DataFrame:
     return inside.join(volume, "graph_id").select("graph_id", (-F.col("inside") / F.col("volume")).alias("cut"))
 
 
+def set2set(nodes: DataFrame, steps: int, w_in: list[list[float]], w_hidden: list[list[float]], bias: list[float], by: str = "graph_id") -> DataFrame:
+    """``(by, y array<double>)`` of twice the vectors' length: in each of ``steps`` a recurrent cell asks, nodes ``v`` answer by the softmax
+    of their product with the question, and both go into the next step. The weights stand for the cell's input, forget, new and
+    output gates, one below the other. A step is one join by group and one aggregate; no group is gathered in one place."""
+    d = len(w_hidden[0])
+    zeros = lambda n: F.array(*[F.lit(0.0)] * n)
+    state = nodes.select(by).distinct().select(by, zeros(2 * d).alias("y"), zeros(d).alias("h"), zeros(d).alias("c"))
+    sigmoid = lambda a: F.transform(a, lambda x: 1 / (1 + F.exp(-x)))
+    for _ in range(steps):
+        z = F.zip_with(matvec(w_in, F.col("y"), bias), matvec(w_hidden, F.col("h")), lambda a, b: a + b)
+        gate = lambda k: F.slice("z", k * d + 1, d)
+        s = state.withColumn("z", z).withColumn("c", F.zip_with(F.zip_with(sigmoid(gate(1)), "c", lambda a, b: a * b), F.zip_with(sigmoid(gate(0)), F.transform(gate(2), F.tanh), lambda a, b: a * b), lambda a, b: a + b))
+        s = s.withColumn("h", F.zip_with(sigmoid(gate(3)), F.transform("c", F.tanh), lambda a, b: a * b)).select(by, "h", "c")
+        e = nodes.select(by, "v").join(s.select(by, "h"), by).withColumn("s", dot(F.col("v"), F.col("h")))
+        top = e.groupBy(by).agg(F.max("s").alias("m"))
+        rows = e.join(top, by).withColumn("e", F.exp(F.col("s") - F.col("m"))).select(by, "e", F.posexplode("v").alias("place", "x"))
+        part = rows.groupBy(by, "place").agg((F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("x"))
+        answer = part.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda z: z["x"]).alias("r"))  # as many as the vector is long
+        state = s.join(answer, by).select(by, F.concat("h", "r").alias("y"), "h", "c")
+    return state.select(by, "y")
+
+
 def dense_layer(nodes: DataFrame, weights: list[list[float]], bias: list[float] | None = None, activation: str | None = None) -> DataFrame:
     """``v`` through a layer of literal weights."""
     y = matvec(weights, F.col("v"), bias)

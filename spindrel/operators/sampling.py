@@ -74,6 +74,27 @@ def key_split(df: DataFrame, key: str, shares: list[float], seed: int = 0) -> Da
     return df.join(r.select(key, part.alias("part")), key)
 
 
+def stratified_key_split(df: DataFrame, key: str, stratum: str, shares: list[float], seed: int = 0) -> DataFrame:
+    """``df`` with ``part``: :func:`key_split` within each stratum, whose keys are its own; the number of strata doesn't matter."""
+    n = df.groupBy(stratum, key).agg(F.count("*").alias("n")).withColumn("k", key_of(F.lit(seed), F.col(key)))
+    w = Window.partitionBy(stratum).orderBy("k", key)
+    mid = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2
+    total = F.sum("n").over(Window.partitionBy(stratum))
+    part, acc = F.lit(0).cast("long"), 0.0
+    for s in shares[:-1]:
+        acc += s
+        part = part + (mid > acc * total).cast("long")
+    return df.join(n.withColumn("part", part).select(stratum, key, "part"), [stratum, key])
+
+
+def shuffled(df: DataFrame, by: str, order: str, value: str, seed: int = 0) -> DataFrame:
+    """``df`` with the values of one column dealt out anew among the rows of each group, in a repeatable random order."""
+    w = lambda *o: Window.partitionBy(by).orderBy(*o)
+    at = df.withColumn("_k", F.row_number().over(w(order)))
+    dealt = df.select(by, F.col(value).alias("_v"), F.row_number().over(w(key_of(F.lit(seed), F.col(by), F.col(order)), order)).alias("_k"))
+    return at.join(dealt, [by, "_k"]).withColumn(value, F.col("_v")).drop("_k", "_v")
+
+
 def ordered_group_split(df: DataFrame, group: str, index: str, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """``df`` with ``part``: groups largest first (then latest first row) to train while train stays within its share, else to valid
     while train and valid together stay within theirs, else to test.

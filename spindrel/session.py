@@ -35,6 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     key = "spark.spindrel.scratch"
     own = spark.conf.get(key, None)
     if own is None:
@@ -49,17 +52,25 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrel/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spindrel_path = path
     return out
 
 
+#: Tables that this process has written and not removed.
+_paths: list[str] = []
+
+
 def dropped(df: DataFrame) -> None:
     """Remove a table made by :func:`written` that nothing reads any more."""
     path = getattr(df, "_spindrel_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
+    if path in _paths:
+        _paths.remove(path)
+        _removed(df.sparkSession, path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -91,7 +102,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it queries are built and their results used; after it the tables that they wrote are removed, in the shared folder too."""
+    before = len(_paths)
+    try:
+        yield
+    finally:
+        while len(_paths) > before:
+            _removed(spark, _paths.pop())
+
+
 def clean_scratch(spark: SparkSession) -> None:
+    """Remove all tables that this process has written, in the shared folder too, and the session's own temporary folder."""
+    while _paths:
+        _removed(spark, _paths.pop())
     own = spark.conf.get("spark.spindrel.scratch", None)
     if own:
         shutil.rmtree(own, ignore_errors=True)

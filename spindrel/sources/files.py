@@ -18,6 +18,34 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return t.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("line", "value")).withColumn("line", F.col("line").cast("long"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, value)``: lines of text files, plain, ``.gz`` or ``.bz2`` (as Spark reads them), or of the members of ``.zip`` files, which
+    are opened one to a task."""
+    if not path.endswith(".zip"):
+        return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+
+    def members(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for b in batches:
+            for data in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for name in z.namelist():
+                        with z.open(name) as f:
+                            lines = io.TextIOWrapper(f, "utf-8", "replace").read().splitlines()
+                            yield pd.DataFrame({"file": [name] * len(lines), "value": lines})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "file string, value string")
+
+
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, n)``: how many lines each file has; files without any have no row."""
+    return read_lines(spark, path).groupBy("file").agg(F.count("*").alias("n"))
+
+
 def first_seen_ids(tokens: DataFrame) -> DataFrame:
     """``(token, id)`` in the order of first appearance: ``tokens (token, at long)``, places unique. One row a token is ranked."""
     f = tokens.groupBy("token").agg(F.min("at").alias("at"))
@@ -137,3 +165,11 @@ def file_md5(path: str, chunk: int = 1 << 20) -> str:
 def literal(c):
     """A cell as a number if it reads as one, else null; texts stay in their own column."""
     return F.expr(f"try_cast(`{c}` as double)")
+
+
+def literal_kind(c: Column) -> Column:
+    """What a cell reads as: ``none``, ``bool``, ``int``, ``float``, ``list``, ``dict``, or ``text``."""
+    t = F.trim(c)
+    kind = F.when(t == "None", "none").when(t.isin("True", "False"), "bool").when(t.rlike(r"^[+-]?[0-9]+$"), "int")
+    kind = kind.when(t.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?=[eE]))([eE][+-]?[0-9]+)?$"), "float")
+    return kind.when(t.rlike(r"^\[.*\]$"), "list").when(t.rlike(r"^\{.*\}$"), "dict").otherwise("text")

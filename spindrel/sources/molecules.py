@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -90,3 +91,137 @@ def to_smiles(graphs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"graph_id": b["id"], "smiles": text})
 
     return graphs.mapInPandas(run, "graph_id long, smiles string")
+
+
+# Usual valences of uncharged atoms by their number, for implied hydrogens.
+USUAL = {5: (3,), 6: (4,), 7: (3, 5), 8: (2,), 9: (1,), 14: (4,), 15: (3, 5), 16: (2, 4, 6), 17: (1,), 34: (2, 4, 6), 35: (1,), 53: (1,)}
+_ATOM = "graph_id long, node_id long, atom_type int, formal_charge int, aromatic boolean, chirality int, degree int, total_hs int, valence int, hybrid int, in_ring boolean, ring_sizes array<int>"
+_BOND = "graph_id long, bond_id long, node_in long, node_out long, bond_order double, direction int, conjugated boolean, in_ring boolean"
+
+
+def _around(n: int, bonds_: list) -> list[list[tuple[int, int]]]:
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for k, x in enumerate(bonds_):
+        out[x["a"]].append((x["b"], k))
+        out[x["b"]].append((x["a"], k))
+    return out
+
+
+def ring_of(near: list[list[tuple[int, int]]], a: int, b: int, bond: int) -> int:
+    """Atoms of the smallest ring through a bond, 0 if none: the shortest way from one end to the other without it."""
+    seen, front, size = {a}, [a], 1
+    while front:
+        size += 1
+        nxt = []
+        for x in front:
+            for y, k in near[x]:
+                if k == bond or y in seen:
+                    continue
+                if y == b:
+                    return size
+                seen.add(y)
+                nxt.append(y)
+        front = nxt
+    return 0
+
+
+def scaffold_atoms(n: int, bonds_: list) -> set[int]:
+    """Atoms of rings, of what links them, and those bound to them by a double bond; none in a molecule without rings."""
+    near = _around(n, bonds_)
+    kept = set(range(n))
+    loose = [x for x in kept if len(near[x]) < 2]
+    degree = [len(x) for x in near]
+    while loose:
+        x = loose.pop()
+        if x not in kept:
+            continue
+        kept.discard(x)
+        for y, _ in near[x]:
+            degree[y] -= 1
+            if y in kept and degree[y] < 2:
+                loose.append(y)
+    return kept | {y for x in kept for y, k in near[x] if bonds_[k]["order"] == 2.0 and y not in kept} if kept else set()
+
+
+def graph_key(atoms_: list, bonds_: list, kept: set[int]) -> str:
+    """A key that is the same for molecules with the same atoms and bonds among ``kept``, however numbered: colours refined by their
+    neighbours' until no more differ. Rare regular graphs that differ may share one. Empty for no atoms."""
+    if not kept:
+        return ""
+    near: dict[int, list[tuple[int, float]]] = {x: [] for x in kept}
+    for x in bonds_:
+        if x["a"] in kept and x["b"] in kept:
+            near[x["a"]].append((x["b"], x["order"]))
+            near[x["b"]].append((x["a"], x["order"]))
+    digest = lambda x: hashlib.blake2b(repr(x).encode(), digest_size=12).hexdigest()
+    colour = {x: digest((atoms_[x]["atom_type"], atoms_[x]["formal_charge"], bool(atoms_[x]["aromatic"]))) for x in kept}
+    different = 0
+    while len(set(colour.values())) > different:
+        different = len(set(colour.values()))
+        colour = {x: digest((colour[x], sorted((o, colour[y]) for y, o in near[x]))) for x in kept}
+    return digest(sorted(colour.values()))
+
+
+def scaffolds(graphs: DataFrame) -> DataFrame:
+    """``(graph_id, scaffold, molecule)``: keys of each molecule's scaffold (empty without rings) and of the whole molecule; stereo
+    marks, isotopes and atom maps don't count."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = [(graph_key(x, y, scaffold_atoms(len(x), y)), graph_key(x, y, set(range(len(x))))) for x, y in zip(b["atoms"], b["bonds"])]
+            yield pd.DataFrame({"graph_id": b["id"], "scaffold": [k for k, _ in keys], "molecule": [k for _, k in keys]})
+
+    return graphs.mapInPandas(run, "graph_id long, scaffold string, molecule string")
+
+
+def _hydrogens(atom, valence: float) -> int:
+    usual = USUAL.get(atom["atom_type"])
+    if atom["explicit_hs"] or usual is None or atom["formal_charge"] or atom["isotope"] or atom["chiral"] or atom["atom_map"]:
+        return atom["explicit_hs"]
+    need = next((v for v in usual if v >= valence), usual[-1])
+    return max(0, int(need - valence))
+
+
+def _describe(i: int, atoms_: list, bonds_: list) -> tuple[list[tuple], list[tuple]]:
+    near = _around(len(atoms_), bonds_)
+    rings = [ring_of(near, x["a"], x["b"], k) for k, x in enumerate(bonds_)]
+    manifold = [any(x["order"] > 1 for x in (bonds_[k] for _, k in near[n])) for n in range(len(atoms_))]
+    rows = []
+    for n, a in enumerate(atoms_):
+        order = [bonds_[k]["order"] for _, k in near[n]]
+        # An aromatic atom's bonds count as one double bond more than single ones.
+        valence = int(len(order) + 1 if a["aromatic"] and any(o == 1.5 for o in order) and a["atom_type"] in (6, 7) else sum(order) + 0.5 if not a["aromatic"] else len(order))
+        hs = _hydrogens(a, valence)
+        hybrid = 1 if not order and a["atom_type"] == 1 else 2 if 3.0 in order or order.count(2.0) > 1 else 3 if 2.0 in order or a["aromatic"] else 4
+        rows.append((i, n, a["atom_type"], a["formal_charge"], bool(a["aromatic"]), {"@@": 1, "@": 2}.get(a["chiral"], 3 if a["chiral"] else 0), len(order), hs, valence, hybrid, any(rings[k] for _, k in near[n]), sorted({rings[k] for _, k in near[n] if rings[k]})))
+    links = [(i, k, x["a"], x["b"], x["order"], {"/": 1, "\\": 2}.get(x["stereo"], 0), x["order"] == 1.5 or x["order"] == 1.0 and manifold[x["a"]] and manifold[x["b"]], bool(rings[k])) for k, x in enumerate(bonds_)]
+    return rows, links
+
+
+def described(graphs: DataFrame, level: str = "atom") -> DataFrame:
+    """Atoms (or bonds) with what features need: hydrogens implied by usual valences, rings through them and their sizes, hybrid
+    orbitals from bond orders. Perceived by these rules alone, no toolkit: lone pairs don't conjugate."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in (_ATOM if level == "atom" else _BOND).split(", ")]
+        for b in batches:
+            rows = [r for i, x, y in zip(b["id"].tolist(), b["atoms"], b["bonds"]) for r in _describe(i, list(x), list(y))[0 if level == "atom" else 1]]
+            yield pd.DataFrame(rows, columns=names)
+
+    return graphs.mapInPandas(run, _ATOM if level == "atom" else _BOND)
+
+
+def reaction_graphs(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, reactant_atoms, reactant_bonds, product_atoms, product_bonds)`` of reactions both sides of which can be read; others are
+    left out, the pair whole."""
+    r = reactions(records, id_col, text_col)
+    side = lambda c: parsed(r, "id", c).select("id", F.col("atoms").alias(f"{c}_atoms"), F.col("bonds").alias(f"{c}_bonds"))
+    return side("reactant").join(side("product"), "id")
+
+
+def protein_ligands(samples: DataFrame, form: Callable[[str], str | None] = str.strip) -> tuple[DataFrame, DataFrame]:
+    """``(samples, sizes)``: samples ``(sample_id, sequence, smiles, split, ...)`` that have a sequence and whose ligand can be read, with
+    its ``atoms`` and ``bonds``, and how many of each split are left."""
+    g = parsed(samples.select("sample_id", "smiles"), "sample_id", "smiles", form=form).withColumnRenamed("id", "sample_id")
+    kept = samples.where(F.length("sequence") > 0).join(g, "sample_id")
+    return kept, kept.groupBy("split").agg(F.count("*").alias("n"))
