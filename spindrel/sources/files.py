@@ -12,10 +12,13 @@ from spindrel.session import maybe_broadcast
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line, value)`` of text files, lines counted from 0 within each file. Whole files are read as one task each, which a
-    line order across a file needs; pass many files for parallel reading."""
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return t.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("line", "value")).withColumn("line", F.col("line").cast("long"))
+    """``(file, line, value)`` of text files, lines counted from 0 within each file. Large files are read in blocks by many tasks: lines
+    are numbered within a block, in the order in which its task reads them, after those of the blocks before it (a row a block)."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), "value").withColumn("_i", F.monotonically_increasing_id())
+    before = Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy("file", "_b").agg(F.count("*").alias("n")).select("file", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_a"))
+    at = F.row_number().over(Window.partitionBy("file", "_b").orderBy("_i")) - 1
+    return t.withColumn("_k", at).join(blocks, ["file", "_b"]).select("file", (F.col("_a") + F.col("_k")).cast("long").alias("line"), "value")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -129,3 +129,21 @@ def test_smiles_round_trip(spark, sf):
     assert write([], []) == ""
     df = spark.createDataFrame([(1, "CC(=O)[O-]"), (2, "c1ccsc1")], "sample_id long, smiles string")
     assert rows(C.to_smiles(C.parsed(df))) == [(1, "CC(=O)[O-]"), (2, "c1ccsc1")]
+
+
+def test_lines_of_blocks_are_numbered_through(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 50) for k in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("one\r\ntwo\r\n\r\nfour")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        rows = L.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    got = {}
+    for r in rows:
+        got.setdefault(r.file[-5:], {})[r.line] = r.value
+    assert [got["a.txt"][k] for k in range(3000)] == lines and len(got["a.txt"]) == 3000
+    assert got["b.txt"] == {0: "one", 1: "two", 2: "", 3: "four"}
