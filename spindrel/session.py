@@ -90,12 +90,15 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Within it, rows go to Python in batches of at most ``rows``: at some KB a row, batches of the default size would take several
     hundred MB of each worker. Meant around an action, such as :func:`written`; the session's setting is restored after."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+    before, own = spark.conf.get(key), key in spark.conf.getAll
     spark.conf.set(key, str(min(int(before), rows)) if int(before) > 0 else str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if own:
+            spark.conf.set(key, before)
+        else:
+            spark.conf.unset(key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
