@@ -167,8 +167,9 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, block: int = L.BLOCK)
     total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
     table = spark.sparkContext.broadcast(frequency_table(sets))
     shape = "bucket int, id long, n int, bits binary, keys array<int>, pos array<int>"
-    posted = sets.select("id", "tokens").mapInArrow(_postings(table, threshold, L.number_of_buckets(int(total * (1 - threshold)), n), block), shape)
-    pairs = written(L.exchanged(posted, n).mapInArrow(_meet(threshold), "a long, b long").distinct(), "pairs")
+    buckets = L.number_of_buckets(int(total * (1 - threshold)), n)
+    posted = sets.select("id", "tokens").mapInArrow(_postings(table, threshold, buckets, block), shape)
+    pairs = written(L.exchanged(posted, n, buckets).mapInArrow(_meet(threshold), "a long, b long").distinct(), "pairs")
     return exact_similarity(pairs, sets, threshold)
 
 

@@ -19,6 +19,7 @@ from spindrel.llm.packing import packed
 from spindrel.llm.pieces import chain_starts, cut_proteins
 from spindrel.llm.pii import personal_information, without_personal_information
 from spindrel.llm.set_tokens import stretches
+from spindrel.llm.sql import P1_FOUND, P3_FOUND, P6_FOUND
 from spindrel.llm.splits import grouped_split, linked_groups, read_split, registry_keys
 from spindrel.session import table, written
 
@@ -51,7 +52,7 @@ def smiles_groups(spark, d):
     return s, linked_groups(s, "sample_id", registry_keys(s, table(spark, d, "nodes")))
 
 
-@query("p1_found")
+@query("p1_found", P1_FOUND)
 def p1_found(spark, d):
     s, groups = smiles_groups(spark, d)
     g = written(groups, "groups")
@@ -94,7 +95,7 @@ def stretch_sets(proteins):
 PROTEIN_SIMILARITY = 0.5
 
 
-@query("p3_found")
+@query("p3_found", P3_FOUND)
 def p3_found(spark, d):
     return near_copy_pairs(written(stretch_sets(proteins_once(spark, d)), "tokens"), PROTEIN_SIMILARITY)
 
@@ -174,7 +175,7 @@ def p5_counts(spark, d):
     return overlap_counts(*cross_split_classes(spark, d))
 
 
-@query("p6_found")
+@query("p6_found", P6_FOUND)
 def p6_found(spark, d):
     cut = cut_proteins(proteins_once(spark, d), table(spark, d, "residues"))
     return cut.where("piece = 0").select(F.col("id").alias("protein_id"), F.explode("chains").alias("at")).select("protein_id", F.col("at").cast("long").alias("chain_start"))

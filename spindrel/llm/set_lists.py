@@ -122,9 +122,10 @@ def blocked(token: np.ndarray, ids: np.ndarray, most: np.ndarray, side: int | No
     return key, copy
 
 
-def exchanged(rows: DataFrame, n: int) -> DataFrame:
-    """Rows by bucket, a bucket in one partition."""
-    return rows.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket")
+def exchanged(rows: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Rows by bucket, a bucket in one partition; sorted where a partition has several."""
+    out = rows.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int"))
+    return out if buckets == n else out.sortWithinPartitions("bucket")
 
 
 def bucketed(owner: np.ndarray, key: np.ndarray, values: dict[str, np.ndarray], buckets: int, fixed: Callable[[np.ndarray], dict[str, pa.Array]]) -> pa.RecordBatch:
