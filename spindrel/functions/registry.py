@@ -70,3 +70,19 @@ def columns(cells: list[list[str]]) -> Iterator[str]:
 
 remembered = lru_cache(maxsize=1)
 OPERATORS = Registry()
+
+
+def register_all() -> Registry:
+    """All public functions of the operators, sources and streams under ``module.function``; those there already stay."""
+    import importlib
+    import inspect
+    import pkgutil
+
+    for package in ("functions", "operators", "sources", "streaming"):
+        root = importlib.import_module(f"spindrel.{package}")
+        for info in pkgutil.iter_modules(root.__path__):
+            module = importlib.import_module(f"{root.__name__}.{info.name}")
+            for name, f in inspect.getmembers(module, inspect.isfunction):
+                if f.__module__ == module.__name__ and not name.startswith("_") and f"{info.name}.{name}" not in OPERATORS.items:
+                    OPERATORS.register(f"{info.name}.{name}", f)
+    return OPERATORS

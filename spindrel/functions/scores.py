@@ -68,6 +68,22 @@ def clipped_objective(policy: Column, agent: Column, reward: Column, eps: float
     return F.least(ratio * reward, F.least(F.greatest(ratio, F.lit(1 - eps)), F.lit(1 + eps)) * reward)
 
 
+def policy_objective(policy: Column, reward: Column) -> Column:
+    return policy * reward
+
+
+def model_score(distance: Column, most: float = 12.0) -> Column:
+    """The score of models whose raw score is a distance."""
+    return F.lit(float(most)) - distance
+
+
+def cubic_penalty(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Sum of the cubes of all vectors' sizes (``v``), and that over the number of vectors."""
+    rows = entities.select("v").unionByName(relations.select("v"))
+    cube = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x) * x * x)
+    return rows.agg(F.sum(cube).alias("penalty"), F.count("*").alias("n")).select("penalty", (F.col("penalty") / F.col("n")).alias("per_vector"))
+
+
 def gaussians(x: Column, start: float, stop: float, n: int) -> Column:
     """``n`` Gaussians with evenly spaced centres, as wide as they lie apart."""
     step = (stop - start) / (n - 1)
@@ -96,4 +112,4 @@ def normalised(x: Column, mean: float, std: float) -> Column:
     return (x - mean) / std
 
 
-__all__ = ["clipped_objective", "complex_", "coupling", "distmult", "dot", "gaussian_log_pdf", "gaussians", "normalised", "one_hot", "positions", "rotate", "shifted_softplus", "simple", "transe", "with_vectors"]
+__all__ = ["clipped_objective", "complex_", "coupling", "cubic_penalty", "distmult", "dot", "gaussian_log_pdf", "gaussians", "model_score", "normalised", "one_hot", "policy_objective", "positions", "rotate", "shifted_softplus", "simple", "transe", "with_vectors"]

@@ -94,11 +94,11 @@ def gcn(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return m.groupBy("graph_id", F.col("node_out").alias("node_id")).agg(F.sum(F.col("weight") / F.sqrt(F.col("da") * F.col("db")) * F.col("x")).alias("y"))
 
 
-def summed(edges: DataFrame, nodes: DataFrame, how: str = "add") -> DataFrame:
-    """Weighted sum (or mean) over incoming edges; 0 without any."""
+def summed(edges: DataFrame, nodes: DataFrame, how: str = "add", feature: str | None = None) -> DataFrame:
+    """Weighted sum (or mean) over incoming edges, of ``x`` or of ``x`` plus the edge's ``feature``; 0 without any."""
     x = nodes.select("graph_id", F.col("node_id").alias("node_in"), "x")
     m = edges.join(x, ["graph_id", "node_in"]).groupBy("graph_id", F.col("node_out").alias("node_id"))
-    agg = F.sum(F.col("weight") * F.col("x"))
+    agg = F.sum(F.col("weight") * (F.col("x") + F.col(feature) if feature else F.col("x")))
     out = m.agg((agg if how == "add" else agg / F.sum("weight")).alias("y"))
     return nodes.select("graph_id", "node_id").join(out, ["graph_id", "node_id"], "left").fillna(0.0, ["y"])
 
@@ -172,12 +172,39 @@ def assignment_entropy(soft: DataFrame, eps: float = 1e-10) -> DataFrame:
     return soft.groupBy("graph_id").agg((F.sum(-F.col("p") * F.log(F.col("p") + eps)) / F.countDistinct("node_id")).alias("entropy"))
 
 
-def mincut(edges: DataFrame, soft: DataFrame) -> DataFrame:
-    """``(graph_id, cut)``: minus the weight within clusters over the weight of nodes' degrees in clusters."""
+def mincut(edges: DataFrame, soft: DataFrame, clusters: int, eps: float = 1e-10) -> DataFrame:
+    """``(graph_id, cut, orthogonality)``: 1 less the weight within clusters over the weight of nodes' degrees in clusters; and how far
+    the product of the assignment with itself, scaled to length 1, is from an even diagonal. ``soft``: as in :func:`pool_dense`."""
     inside = pool_dense(edges, soft).where("c_in = c_out").groupBy("graph_id").agg(F.sum("weight").alias("inside"))
     d = degrees(edges, "node_in", "deg")
     volume = soft.join(d, ["graph_id", "node_id"]).groupBy("graph_id").agg(F.sum(F.col("p") * F.col("p") * F.col("deg")).alias("volume"))
-    return inside.join(volume, "graph_id").select("graph_id", (-F.col("inside") / F.col("volume")).alias("cut"))
+    a, b = soft.toDF("graph_id", "node_id", "a", "pa"), soft.toDF("graph_id", "node_id", "b", "pb")
+    x = a.join(b, ["graph_id", "node_id"]).groupBy("graph_id", "a", "b").agg(F.sum(F.col("pa") * F.col("pb")).alias("x"))
+    # |x/|x| - 1/sqrt(k) on the diagonal|: entries that don't occur are 0.
+    n = x.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum(F.when(F.col("a") == F.col("b"), F.col("x")).otherwise(0.0)).alias("trace"))
+    orthogonal = F.sqrt(F.greatest(2 - 2 * F.col("trace") / (F.col("norm") * F.sqrt(F.lit(float(clusters)))), F.lit(0.0)))
+    j = n.join(volume, "graph_id", "left").join(inside, "graph_id", "left").fillna(0.0, ["inside", "volume"])
+    return j.select("graph_id", (1 - F.col("inside") / (F.col("volume") + eps)).alias("cut"), orthogonal.alias("orthogonality"))
+
+
+def pair_norm_vectors(nodes: DataFrame, each: bool = False, eps: float = 1e-8) -> DataFrame:
+    """Vectors ``v`` centred over all nodes, then scaled together to a mean square length of 1, or ``each`` to length 1."""
+    d = nodes.select(F.size("v").alias("d")).first()
+    if d is None:
+        return nodes
+    mean = nodes.agg(*[F.avg(F.col("v")[k]).alias(f"m{k}") for k in range(d["d"])], F.count("*").alias("_n"))
+    x = nodes.crossJoin(F.broadcast(mean)).withColumn("v", F.zip_with("v", F.array(*[F.col(f"m{k}") for k in range(d["d"])]), lambda a, b: a - b))
+    square = total(F.transform("v", lambda z: z * z))
+    if each:
+        return x.withColumn("_s", F.sqrt(square) + eps).withColumn("v", F.transform("v", lambda z: z / F.col("_s"))).select(nodes.columns)
+    s = x.agg(F.sum(square).alias("_q"))
+    return x.crossJoin(F.broadcast(s)).withColumn("v", F.transform("v", lambda z: z * F.sqrt(F.col("_n")) / (F.sqrt("_q") + eps))).select(nodes.columns)
+
+
+def fingerprint_layer(edges: DataFrame, nodes: DataFrame, weight: float, bias: float) -> DataFrame:
+    """A linear layer over each node with the weighted sum over its incoming edges, cut at 0."""
+    y = summed(edges, nodes).join(nodes.select("graph_id", "node_id", "x"), ["graph_id", "node_id"])
+    return y.select("graph_id", "node_id", F.greatest(F.lit(float(weight)) * (F.col("x") + F.col("y")) + bias, F.lit(0.0)).alias("y"))
 
 
 def set2set(nodes: DataFrame, steps: int, w_in: list[list[float]], w_hidden: list[list[float]], bias: list[float], by: str = "graph_id") -> DataFrame:

@@ -35,6 +35,19 @@ def node_sample(edges: DataFrame, nodes: DataFrame, n: int, seed: int = 0) -> tu
     return kept.select("node_id"), e.select("node_in", "node_out", (F.col("weight") / (n * F.col("p"))).alias("weight"))
 
 
+def merged_best(best: DataFrame, found: DataFrame, key: str, score: str, k: int) -> DataFrame:
+    """The ``k`` best of earlier and new results, each ``key`` once with its best score."""
+    every = best.select(key, score).unionByName(found.select(key, score)).groupBy(key).agg(F.max(score).alias(score))
+    return every.orderBy(F.desc(score), key).limit(k)
+
+
+def edge_negatives(edges: DataFrame, sizes: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """``(graph_id, draw, a, b)``: random pairs of nodes of each graph ``(graph_id, size)`` that no edge joins, of ``draws`` pairs drawn."""
+    n = sizes.select(F.col("graph_id").alias("set_id"), "size")
+    pairs = random_pairs(n, n.select("set_id", F.lit(draws).cast("long").alias("n")), seed).withColumnRenamed("set_id", "graph_id")
+    return pairs.join(edges.select("graph_id", F.col("node_in").alias("a"), F.col("node_out").alias("b")), ["graph_id", "a", "b"], "left_anti").select("graph_id", "draw", "a", "b")
+
+
 def edge_sample(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Edges drawn by the sum of the inverse degrees of their ends (its share of all is ``p``), weights divided by ``n p``."""
     a = edges.groupBy("node_in").agg(F.sum("weight").alias("da"))

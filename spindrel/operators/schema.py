@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = ("node", "edge", "graph", "residue")
+LEVELS = ("node", "edge", "graph", "residue", "atom", "bond")
 KINDS = (*LEVELS, *(f"{x} reference" for x in LEVELS))
 
 
@@ -34,6 +34,13 @@ def bad_references(df: DataFrame, column: str, targets: DataFrame, key: str) ->
     return df.where(F.col(column).isNotNull() & (F.col(column) != -1)).join(targets.select(F.col(key).alias(column)), column, "left_anti")
 
 
+def wrong_lengths(df: DataFrame, sizes: DataFrame, by: list[str], size: str) -> DataFrame:
+    """``(by..., rows, wanted)`` where ``df`` hasn't as many rows as ``sizes`` says."""
+    n = df.groupBy(*by).agg(F.count("*").alias("rows"))
+    j = sizes.select(*by, F.col(size).alias("wanted")).join(n, by, "full").fillna(0, ["rows", "wanted"])
+    return j.where("rows <> wanted").select(*by, "rows", "wanted")
+
+
 def remapped(df: DataFrame, column: str, mapping: DataFrame, on: list[str] = ()) -> DataFrame:
     """``df`` with a reference replaced by ``mapping (on..., old, new)``, -1 where its target is gone."""
     m = mapping.select(*on, F.col("old").alias(column), F.col("new").alias("_new"))

@@ -152,9 +152,9 @@ def _(s, d):
     return r6(P.assignment_entropy(_soft(s, d)), "entropy", 8)
 
 
-@query("mincut_metrics", sql(f"WITH $pn, $pe, {_SOFT}, {_DENSE}, i AS (SELECT graph_id, sum(weight) AS i FROM dense WHERE c_in = c_out GROUP BY 1), dg AS (SELECT graph_id, node_in AS node_id, sum(weight) AS dg FROM pe GROUP BY 1, 2), v AS (SELECT graph_id, sum(p * p * dg) AS v FROM s JOIN dg USING (graph_id, node_id) GROUP BY 1) SELECT graph_id, round(-i / v, 6) AS cut FROM i JOIN v USING (graph_id)"))
+@query("mincut_metrics", sql(f"WITH $pn, $pe, {_SOFT}, {_DENSE}, i AS (SELECT graph_id, sum(weight) AS i FROM dense WHERE c_in = c_out GROUP BY 1), dg AS (SELECT graph_id, node_in AS node_id, sum(weight) AS dg FROM pe GROUP BY 1, 2), v AS (SELECT graph_id, sum(p * p * dg) AS v FROM s JOIN dg USING (graph_id, node_id) GROUP BY 1), ss AS (SELECT x.graph_id, x.cluster AS a, y.cluster AS b, sum(x.p * y.p) AS x FROM s x JOIN s y ON x.graph_id = y.graph_id AND x.node_id = y.node_id GROUP BY ALL), nn AS (SELECT graph_id, sqrt(sum(x * x)) AS n FROM ss GROUP BY 1), o AS (SELECT graph_id, sqrt(sum(pow(x / n - CASE WHEN a = b THEN 1 / sqrt(3) ELSE 0 END, 2))) AS o FROM ss JOIN nn USING (graph_id) GROUP BY 1) SELECT graph_id, round(1 - coalesce(i, 0) / (coalesce(v, 0) + 1e-10), 6) AS cut, round(o, 6) AS orthogonality FROM o LEFT JOIN i USING (graph_id) LEFT JOIN v USING (graph_id)"))
 def _(s, d):
-    return r6(P.mincut(pg_edges(s, d), _soft(s, d)), "cut")
+    return r6(r6(P.mincut(pg_edges(s, d), _soft(s, d), 3), "cut"), "orthogonality")
 
 
 @query("mlp_forward", sql("WITH $emb SELECT vec_id, label, round(greatest(v[1] + 2 * v[2] - v[3] + 0.1, 0), 6) AS a, round(greatest(-v[1] + 0.5 * v[3] - 0.2, 0), 6) AS b FROM emb"))

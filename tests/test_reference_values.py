@@ -76,3 +76,21 @@ def test_walks_go_on_to_the_last_node(spark):
     e = spark.createDataFrame([(0, i, i + 1) for i in range(n)], "graph_id long, node_in long, node_out long")
     got = I.bfs_order(e, spark.createDataFrame([(0, 0)], "graph_id long, node_id long")).collect()
     assert sorted((r.node_id, r.place) for r in got) == [(i, i) for i in range(n + 1)]
+
+
+def test_cuts_and_even_clusters(spark):
+    """Two clusters of two nodes, joined by one edge in each direction: 4 of 6 weights lie within; the assignment is even."""
+    links = [(1, 2), (2, 1), (3, 4), (4, 3), (2, 3), (3, 2)]
+    e = spark.createDataFrame([(0, a, b, 1.0) for a, b in links], "graph_id long, node_in long, node_out long, weight double")
+    s = spark.createDataFrame([(0, n, int(n > 2), 1.0) for n in range(1, 5)], "graph_id long, node_id long, cluster int, p double")
+    r = P.mincut(e, s, 2).first()
+    assert r.cut == pytest.approx(1 - 4 / 6) and r.orthogonality == pytest.approx(0.0, abs=1e-6)
+    one = s.withColumn("cluster", C.F.lit(0))
+    assert P.mincut(e, one, 2).first().orthogonality == pytest.approx(math.sqrt((1 - 1 / math.sqrt(2)) ** 2 + 0.5))
+
+
+def test_operators_are_found_by_name():
+    from spindrel.functions.registry import register_all
+
+    r = register_all()
+    assert r.search("node_sample") is S.node_sample and r.get("message.attention") is P.attention and len(r.items) > 150
