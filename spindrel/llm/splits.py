@@ -122,8 +122,8 @@ def grouped_split(groups: DataFrame, proportions: Sequence[tuple[str, float]] =
     """``(id, component, split)``: whole components dealt to the splits in the order of their hashes, so that the splits' sizes are
     near the given proportions.
 
-    All components are dealt in the order of their hashes but for those over a tenth of the smallest split (``LARGE``; fewer than
-    ten times the rows over it): wherever their hash fell, they would move a boundary by as much, so they are placed first,
+    All components are dealt in the order of their hashes but for those over a tenth of the smallest split (``LARGE``; fewer
+    than 100 with 80/10/10): wherever their hash fell, they would move a boundary by as much, so they are placed first,
     largest first, each where most is missing. The others fill what is left: hashes fall into ``bins`` ranges, the totals of which (a fixed number
     of rows) give the ranges' starts; within its range a component starts after those with smaller hashes. No sort of all
     components in one task. An empty table gives an empty one.
