@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spindrel.llm import set_lists as L
 from spindrel.llm.set_tokens import cell_of, frequency_table, mixed, most, ones
-from spindrel.session import written
+from spindrel.session import small_enough, written
 
 #: Members of a leaf, and children of a node.
 LEAF, FAN = 8, 4
@@ -170,16 +170,24 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, block: int = L.BLOCK)
     buckets = L.number_of_buckets(int(total * (1 - threshold)), n)
     posted = sets.select("id", "tokens").mapInArrow(_postings(table, threshold, buckets, block), shape)
     pairs = written(L.exchanged(posted, n, buckets).mapInArrow(_meet(threshold), "a long, b long").distinct(), "pairs")
-    return exact_similarity(pairs, sets, threshold)
+    return exact_similarity(pairs, sets.select("id", "tokens"), threshold)
 
 
 def exact_similarity(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    """``pairs (a, b)`` whose sets reach the threshold, with their similarity. Only sets that stand in a pair are moved."""
+    left, right = met_only(sets, pairs, "a").toDF("a", "ta"), met_only(sets, pairs, "b").toDF("b", "tb")
     both = F.size(F.array_intersect("ta", "tb"))
     j = pairs.join(left, "a").join(right, "b").withColumn("both", both).withColumn("either", F.size("ta") + F.size("tb") - F.col("both"))
     return j.where(F.col("both") >= F.lit(threshold) * F.col("either")).select("a", "b", (F.col("both") / F.col("either")).alias("similarity"))
 
 
+def met_only(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """``rows (id, ...)`` whose id stands in ``pairs`` on that side: dropped where they are read if the ids are few enough to send, else
+    in the join to come."""
+    ids = pairs.select(F.col(side).alias("id")).distinct()
+    return rows.join(F.broadcast(ids), "id", "left_semi") if small_enough(ids) else rows
+
+
 def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(reps, members)``: each different set once, under the smallest id with it, and ``(id, rep)`` for all rows."""
     two = [F.xxhash64("tokens").alias("p"), F.xxhash64(F.lit(1), "tokens").alias("q")]  # 128 bits of a set
