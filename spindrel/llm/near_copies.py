@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spindrel.llm import set_lists as L
 from spindrel.llm.set_tokens import cell_of, frequency_table, mixed, most, ones
-from spindrel.session import small_enough, written
+from spindrel.session import maybe_broadcast, small_enough, written
 
 #: Members of a leaf, and children of a node.
 LEAF, FAN = 8, 4
@@ -194,7 +194,8 @@ def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = sets.select("id", *two)
     rep = s.groupBy("p", "q").agg(F.min("id").alias("rep"))
     members = written(s.join(rep, ["p", "q"]).select("id", "rep"), "members")
-    reps = written(sets.select("id", "tokens").join(members.where("id = rep").select("id"), "id"), "sets")
+    others = members.where("id <> rep").select("id")
+    reps = written(sets.select("id", "tokens").join(maybe_broadcast(others), "id", "left_anti"), "sets")  # in place where copies are few
     return reps, members
 
 
