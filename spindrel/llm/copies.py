@@ -7,7 +7,7 @@ within partitions first, so a text with any number of copies moves as one row a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,16 +20,17 @@ from spindrel.session import written
 BUCKET_ROWS, STEP, HELD = 20_000, 4, 100_000
 
 
-def canonical_table(records: DataFrame, id_col: str, text_col: str, form: Callable[[str | None], str | None]) -> DataFrame:
-    """``(id, key)``: the canonical bytes of each text; null ids, null texts and texts of which nothing is left are left out."""
+def canonical_table(records: DataFrame, id_col: str, text_col: str, form: Callable[[str | None], str | None], keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, key, keep...)``: the canonical bytes of each text, and columns carried along; null ids, null texts and texts of which nothing is left are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = [form(x) if isinstance(x, str) else None for x in b["t"]]
-            yield pd.DataFrame({"id": b["id"], "key": [k.encode("utf-8", "surrogatepass") if k else None for k in keys]})
+            yield pd.DataFrame({"id": b["id"], "key": [k.encode("utf-8", "surrogatepass") if k else None for k in keys], **{c: b[c] for c in keep}})
 
-    src = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
-    return src.mapInPandas(run, "id long, key binary").where("key is not null")
+    src = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *keep).where("id is not null and t is not null")
+    more = "".join(f", `{c}` {t}" for c, t in src.dtypes if c in keep)
+    return src.mapInPandas(run, "id long, key binary" + more).where("key is not null")
 
 
 def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

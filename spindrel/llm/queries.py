@@ -81,14 +81,14 @@ def proteins_once(spark, d):
     return once(table(spark, d, "sequences"), "protein_id", "sequence", "source", "split")
 
 
-def stretch_sets(proteins):
-    """``(id, tokens)``: the distinct stretches of five residues of each protein, chain marks and letter case ignored."""
+def stretch_sets(proteins, *keep):
+    """``(id, tokens, keep...)``: the distinct stretches of five residues of each protein, chain marks and letter case ignored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["protein_id"], "tokens": [stretches(chain_starts(t)[0]) for t in b["sequence"]]})
+            yield pd.DataFrame({"id": b["protein_id"], "tokens": [stretches(chain_starts(t)[0]) for t in b["sequence"]], **{c: b[c] for c in keep}})
 
-    return proteins.where("sequence is not null").select("protein_id", "sequence").mapInPandas(run, "id long, tokens array<long>")
+    return proteins.where("sequence is not null").select("protein_id", "sequence", *keep).mapInPandas(run, "id long, tokens array<long>" + "".join(f", {c} string" for c in keep))
 
 
 #: Similarity of proteins at which the tables' cases begin.
@@ -140,8 +140,8 @@ def flat(text):
 def cross_split_classes(spark, d):
     """``(met, held, train)`` of both fields: which classes of equal records of a held-out and of the train split are alike, by the
     cosine join, and the members of the classes."""
-    s = smiles_once(spark, d).withColumn("part", read_split("split")).where("part is not null")
-    keys = written(canonical_table(s, "sample_id", "smiles", flat).join(s.select(F.col("sample_id").alias("id"), F.col("part").alias("split"), "source"), "id"), "flat")
+    s = smiles_once(spark, d).withColumn("split", read_split("split")).where("split is not null")
+    keys = written(canonical_table(s, "sample_id", "smiles", flat, ("split", "source")), "flat")
     part = {t: keys.where((F.col("split") == "train") == F.lit(t)) for t in (False, True)}
     rep = {t: written(part[t].groupBy("key").agg(F.min("id").alias("rep")), "texts") for t in (False, True)}
     near = cosine_join(*(text_vectors(rep[t].select(F.col("rep").alias("id"), "key")) for t in (False, True)), 0.9999, scaled=True)
@@ -149,8 +149,8 @@ def cross_split_classes(spark, d):
     held = part[False].join(rep[False], "key").select(F.lit("smiles").alias("field"), "id", F.col("rep").alias("l"), "split", "source")
     train = part[True].join(rep[True], "key").select(F.lit("smiles").alias("field"), "id", F.col("rep").alias("r"))
 
-    p = proteins_once(spark, d).withColumn("part", read_split("split")).where("part is not null")
-    sets = written(stretch_sets(p).where(F.size("tokens") > 0).join(p.select(F.col("protein_id").alias("id"), F.col("part").alias("split"), "source"), "id"), "tokens")
+    p = proteins_once(spark, d).withColumn("split", read_split("split")).where("split is not null")
+    sets = written(stretch_sets(p, "split", "source").where(F.size("tokens") > 0), "tokens")
     side = {t: sets.where((F.col("split") == "train") == F.lit(t)) for t in (False, True)}
     reps, members = zip(*(distinct_sets(side[t].select("id", "tokens")) for t in (False, True)))
     near = cosine_join(*rarity_weights(*reps), least_cosine(PROTEIN_SIMILARITY), scaled=True)
