@@ -346,8 +346,8 @@ def _(s, d):
     return y.join(t, "label").select("vec_id", F.round(F.col("y") * F.col("s") + F.col("m"), 6).alias("y"))
 
 
-@query("prefix_likelihood", sql("WITH $sets, x AS (SELECT set_id, pos, value / 1000 - max(value / 1000) OVER (PARTITION BY set_id) AS x, count(*) OVER (PARTITION BY set_id) AS n FROM sets), l AS (SELECT set_id, pos, n, x - ln(sum(exp(x)) OVER (PARTITION BY set_id)) AS p FROM x) SELECT set_id, round(avg(p) FILTER (pos < n // 2 + 1), 4) AS log_likelihood FROM l GROUP BY 1"))
+@query("prefix_likelihood", sql("WITH $sets, x AS (SELECT set_id, pos, value / 1000 - max(value / 1000) OVER (PARTITION BY set_id) AS x, count(*) OVER (PARTITION BY set_id) AS n FROM sets), l AS (SELECT set_id, pos, n, x - ln(sum(exp(x)) OVER (PARTITION BY set_id)) AS p FROM x) SELECT set_id, round(avg(p) FILTER (pos < n // 2 + 1), 9) AS log_likelihood FROM l GROUP BY 1"))
 def _(s, d):
     x = sets(s, d).withColumn("value", F.col("value") / 1000)
     j = R.ragged_softmax(x, log=True).join(R.sizes_of(x), "set_id")
-    return j.groupBy("set_id").agg(F.round(F.avg(F.when(F.col("pos") < F.floor(F.col("size") / 2) + 1, F.col("p"))), 4).alias("log_likelihood"))
+    return j.groupBy("set_id").agg(F.round(F.avg(F.when(F.col("pos") < F.floor(F.col("size") / 2) + 1, F.col("p"))), 9).alias("log_likelihood"))
