@@ -21,3 +21,7 @@ def test_valences_are_counted_within_a_molecule(spark, sf):
             want[i, n] = (a[0], a[1], math.floor(sum(o * ((x == n) + (y == n)) for x, y, o, _ in bonds) + 0.5))
     assert got == want
     assert "Join" not in plan(QUERIES["explicit_valence"](spark, sf))
+
+
+def test_validity_joins_nothing(spark, sf):
+    assert "Join" not in plan(QUERIES["is_valid"](spark, sf))
