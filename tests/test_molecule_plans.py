@@ -25,3 +25,7 @@ def test_valences_are_counted_within_a_molecule(spark, sf):
 
 def test_validity_joins_nothing(spark, sf):
     assert "Join" not in plan(QUERIES["is_valid"](spark, sf))
+
+
+def test_neutral_molecules_join_nothing(spark, sf):
+    assert "Join" not in plan(QUERIES["ion_to_molecule"](spark, sf))
