@@ -29,3 +29,35 @@ def test_validity_joins_nothing(spark, sf):
 
 def test_neutral_molecules_join_nothing(spark, sf):
     assert "Join" not in plan(QUERIES["ion_to_molecule"](spark, sf))
+
+
+def planned(spark, build):
+    """The plan where the planner may broadcast whatever it takes to be under 1 GB."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1g", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return plan(build())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_atoms_of_fingerprints_are_not_broadcast(spark):
+    n = spark.createDataFrame([(1, 0, "C"), (1, 1, "O"), (2, 0, "N")], "graph_id long, node_id long, key string")
+    e = spark.createDataFrame([(1, 0, 1, 1.0), (1, 1, 0, 1.0)], "graph_id long, node_in long, node_out long, bond double")
+    names = []
+
+    def build():
+        import spindrel.operators.iterative as I
+
+        keep = I.written
+        I.written = lambda df, name="stage": (names.append(plan(df)), keep(df, name))[1]
+        try:
+            return I.circular_fingerprint(n, e)
+        finally:
+            I.written = keep
+
+    planned(spark, build)
+    assert len(names) > 2 and not any("BroadcastHashJoin" in p for p in names)
