@@ -164,7 +164,8 @@ def pool_dense(edges: DataFrame, soft: DataFrame) -> DataFrame:
     """``S' A S``: ``soft (graph_id, node_id, cluster, p)`` holds each node's share in clusters."""
     a = soft.select("graph_id", F.col("node_id").alias("node_in"), F.col("cluster").alias("c_in"), F.col("p").alias("pa"))
     b = soft.select("graph_id", F.col("node_id").alias("node_out"), F.col("cluster").alias("c_out"), F.col("p").alias("pb"))
-    m = edges.join(a, ["graph_id", "node_in"]).join(b, ["graph_id", "node_out"])
+    # Sorted joins by hint: a row a node and cluster is more than the planner takes it to be, and would be broadcast.
+    m = edges.join(a.hint("merge"), ["graph_id", "node_in"]).join(b.hint("merge"), ["graph_id", "node_out"])
     return m.groupBy("graph_id", "c_in", "c_out").agg(F.sum(F.col("pa") * F.col("weight") * F.col("pb")).alias("weight"))
 
 
@@ -177,9 +178,9 @@ def mincut(edges: DataFrame, soft: DataFrame, clusters: int, eps: float = 1e-10)
     the product of the assignment with itself, scaled to length 1, is from an even diagonal. ``soft``: as in :func:`pool_dense`."""
     inside = pool_dense(edges, soft).where("c_in = c_out").groupBy("graph_id").agg(F.sum("weight").alias("inside"))
     d = degrees(edges, "node_in", "deg")
-    volume = soft.join(d, ["graph_id", "node_id"]).groupBy("graph_id").agg(F.sum(F.col("p") * F.col("p") * F.col("deg")).alias("volume"))
+    volume = soft.join(d.hint("merge"), ["graph_id", "node_id"]).groupBy("graph_id").agg(F.sum(F.col("p") * F.col("p") * F.col("deg")).alias("volume"))
     a, b = soft.toDF("graph_id", "node_id", "a", "pa"), soft.toDF("graph_id", "node_id", "b", "pb")
-    x = a.join(b, ["graph_id", "node_id"]).groupBy("graph_id", "a", "b").agg(F.sum(F.col("pa") * F.col("pb")).alias("x"))
+    x = a.join(b.hint("merge"), ["graph_id", "node_id"]).groupBy("graph_id", "a", "b").agg(F.sum(F.col("pa") * F.col("pb")).alias("x"))
     # |x/|x| - 1/sqrt(k) on the diagonal|: entries that don't occur are 0.
     n = x.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum(F.when(F.col("a") == F.col("b"), F.col("x")).otherwise(0.0)).alias("trace"))
     orthogonal = F.sqrt(F.greatest(2 - 2 * F.col("trace") / (F.col("norm") * F.sqrt(F.lit(float(clusters)))), F.lit(0.0)))

@@ -61,3 +61,12 @@ def test_atoms_of_fingerprints_are_not_broadcast(spark):
 
     planned(spark, build)
     assert len(names) > 2 and not any("BroadcastHashJoin" in p for p in names)
+
+
+def test_shares_in_clusters_are_not_broadcast(spark):
+    from spindrel.operators import message as P
+
+    e = spark.createDataFrame([(1, 0, 1, 2.0), (1, 1, 0, 2.0)], "graph_id long, node_in long, node_out long, weight double")
+    soft = spark.createDataFrame([(1, 0, 0, 0.5), (1, 0, 1, 0.5), (1, 1, 1, 1.0)], "graph_id long, node_id long, cluster long, p double")
+    assert "BroadcastHashJoin" not in planned(spark, lambda: P.pool_dense(e, soft))
+    assert planned(spark, lambda: P.mincut(e, soft, 2)).count("SortMergeJoin") >= 4
