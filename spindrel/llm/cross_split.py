@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from spindrel.llm import set_lists as L
 from spindrel.llm.near_copies import met_only
 from spindrel.llm.set_tokens import cell_of, cell_table, frequency_table, mixed, most
-from spindrel.session import small_batches, written
+from spindrel.session import dropped, small_batches, written
 
 _EPS = 1e-9
 #: Slack of bounds from weights sent as floats.
@@ -97,43 +97,41 @@ def term_tables(left: DataFrame, right: DataFrame) -> np.ndarray:
     return cell_table(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))), add, 2)
 
 
-def _index(tables, side: int, threshold: float, buckets: int, block: int):
-    """The indexed part of each vector: ``(bucket, side, id, n, top, bits, keys, w, rest)``, a row a bucket."""
+def _index(tables, side: int, threshold: float, buckets: int, part: tuple[int, int], block: int):
+    """The indexed part of each vector: packed rows ``(side, id, n, top, bits, keys, w, rest)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, other = tables.value[0], tables.value[2 - side]
-        for whole in batches:
-            for lo in range(0, len(whole), L.ROWS):
-                b = whole.slice(lo, L.ROWS)
-                ids = b.column("id").to_numpy(zero_copy_only=False)
-                (terms, n), (w, _) = L.flattened(b.column("terms")), L.flattened(b.column("weights"))
-                owner = np.repeat(np.arange(len(n)), n)
-                cells, h = cell_of(terms), mixed(terms)
-                bits = np.array(L.packed_bits(owner, h, n), object)
-                top = np.zeros(len(n))
-                np.maximum.at(top, owner, w)
-                # By vector, then rarity, then hash; equal hashes stay in the order of the terms.
-                order = np.argsort(owner.astype(np.uint64) << np.uint64(52) | level[cells].astype(np.uint64) << np.uint64(44) | h >> np.uint64(20), kind="stable")
-                t, w, c = terms[order], w[order], cells[order]
-
-                def behind(x: np.ndarray) -> np.ndarray:
-                    """Sums of ``x`` from each place to the vector's end."""
-                    upto = np.cumsum(x)
-                    first = np.cumsum(n) - n
-                    ends = upto[np.cumsum(n) - 1]
-                    return ends[owner] - upto + x if len(first) else x
-
-                before2 = behind(w * w)
-                after = np.sqrt(np.maximum(0.0, before2 - w * w))
-                heaviest = behind(w * (other[c] / 255.0))
-                # Indexed as long as this term and those behind it can reach the threshold; terms the other side lacks hold no list.
-                at = np.flatnonzero((np.minimum(np.sqrt(before2), heaviest) >= threshold - _EPS) & (other[c] > 0))
-                own = owner[at]
-                key, copy = L.blocked(t[at], ids[own], most(level[c[at]]), side, block)
-                fixed = lambda s, ids=ids, n=n, bits=bits, top=top: {
-                    "side": pa.array(np.full(len(s), side, np.int32)), "id": pa.array(ids[s]), "n": pa.array(n[s].astype(np.int32)), "top": pa.array(top[s]), "bits": pa.array(bits[s].tolist(), pa.binary())
-                }
-                yield L.bucketed(own[copy], key, {"w": w[at][copy].astype(np.float32), "rest": after[at][copy].astype(np.float32)}, buckets, fixed)
+        for b in L.slices(batches):
+            ids = b.column("id").to_numpy(zero_copy_only=False)
+            (terms, n), (w, _) = L.flattened(b.column("terms")), L.flattened(b.column("weights"))
+            owner = np.repeat(np.arange(len(n)), n)
+            cells, h = cell_of(terms), mixed(terms)
+            bits = np.array(L.packed_bits(owner, h, n), object)
+            top = np.zeros(len(n))
+            np.maximum.at(top, owner, w)
+            # By vector, then rarity, then hash; equal hashes stay in the order of the terms.
+            order = np.argsort(owner.astype(np.uint64) << np.uint64(52) | level[cells].astype(np.uint64) << np.uint64(44) | h >> np.uint64(20), kind="stable")
+            t, w, c = terms[order], w[order], cells[order]
+
+            def behind(x: np.ndarray) -> np.ndarray:
+                """Sums of ``x`` from each place to the vector's end."""
+                upto = np.cumsum(x)
+                first = np.cumsum(n) - n
+                ends = upto[np.cumsum(n) - 1]
+                return ends[owner] - upto + x if len(first) else x
+
+            before2 = behind(w * w)
+            after = np.sqrt(np.maximum(0.0, before2 - w * w))
+            heaviest = behind(w * (other[c] / 255.0))
+            # Indexed as long as this term and those behind it can reach the threshold; terms the other side lacks hold no list.
+            at = np.flatnonzero((np.minimum(np.sqrt(before2), heaviest) >= threshold - _EPS) & (other[c] > 0))
+            own = owner[at]
+            key, copy = L.blocked(t[at], ids[own], most(level[c[at]]), side, block)
+            fixed = lambda s, ids=ids, n=n, bits=bits, top=top: {
+                "side": pa.array(np.full(len(s), side, np.int32)), "id": pa.array(ids[s]), "n": pa.array(n[s].astype(np.int32)), "top": pa.array(top[s]), "bits": pa.array(bits[s].tolist(), pa.binary())
+            }
+            yield L.bucketed(own[copy], key, {"w": w[at][copy].astype(np.float32), "rest": after[at][copy].astype(np.float32)}, buckets, part, fixed)
 
     return run
 
@@ -148,7 +146,7 @@ def _probe(threshold: float):
             n_left = int((t.column("side").to_numpy() == 0).sum())
             key, count = L.flattened(t.column("keys").chunk(0))
             (w, _), (rest, _) = L.flattened(t.column("w").chunk(0)), L.flattened(t.column("rest").chunk(0))
-            maps = L.Bitmaps(t.column("bits").to_pylist(), n)
+            maps = L.Bitmaps(t.column("bits").chunk(0), n)
             owner = np.repeat(np.arange(len(n)), count)
             order = np.argsort(key, kind="stable")  # sets come by side
             key, owner, w, rest = key[order], owner[order], w[order], rest[order]
@@ -179,11 +177,14 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float, block: int
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left, right = (written(x.select("id", "terms", "weights") if scaled else normed(x), "vectors") for x in (left, right))
     tables = spark.sparkContext.broadcast(term_tables(left, right))
-    total = left.select(F.size("terms").alias("n")).unionByName(right.select(F.size("terms").alias("n"))).agg(F.sum("n")).first()[0] or 0
-    buckets = L.number_of_buckets(total * 2 // 3, n)  # about what is indexed
-    shape = "bucket int, side int, id long, n int, top double, bits binary, keys array<int>, w array<float>, rest array<float>"
-    lists = left.mapInArrow(_index(tables, 0, threshold, buckets, block), shape).unionByName(right.mapInArrow(_index(tables, 1, threshold, buckets, block), shape))
-    pairs = written(L.exchanged(lists, n, buckets).mapInArrow(_probe(threshold), "l long, r long").distinct(), "pairs")
+    count, total = left.select(F.size("terms").alias("n")).unionByName(right.select(F.size("terms").alias("n"))).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    postings = total * 2 // 3  # about what is indexed
+    buckets = L.number_of_buckets(postings, n, spark.sparkContext.defaultParallelism)
+
+    def lists(part: tuple[int, int]) -> DataFrame:
+        return left.mapInArrow(_index(tables, 0, threshold, buckets, part, block), L.PACKED).unionByName(right.mapInArrow(_index(tables, 1, threshold, buckets, part, block), L.PACKED))
+
+    pairs = L.met(lists, _probe(threshold), ("l", "r"), n, L.rounds(count, total, postings, buckets))
 
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +202,10 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float, block: int
 
     full = pairs.join(met_only(left, pairs, "l").toDF("l", "tl", "wl"), "l").join(met_only(right, pairs, "r").toDF("r", "tr", "wr"), "r")
     with small_batches(spark):
-        return written(full.mapInArrow(dot, "l long, r long, cosine double, shared int"), "met")
+        met = written(full.mapInArrow(dot, "l long, r long, cosine double, shared int"), "met")
+    for x in (left, right, pairs):
+        dropped(x)
+    return met
 
 
 def overlap_counts(met: DataFrame, held: DataFrame, train: DataFrame) -> DataFrame:

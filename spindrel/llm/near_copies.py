@@ -77,34 +77,32 @@ class SignatureTrees:
             a, b = a[up], b[up]
 
 
-def _postings(table, threshold: float, buckets: int, block: int):
-    """Each set in the buckets of its rare tokens: ``(bucket, id, n, bits, keys, pos)`` with the tokens' places by rarity."""
+def _postings(table, threshold: float, buckets: int, part: tuple[int, int], block: int):
+    """Each set in the buckets of its rare tokens: packed rows ``(id, n, bits, keys, pos)`` with the tokens' places by rarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = table.value
-        for whole in batches:
-            for lo in range(0, len(whole), L.ROWS):
-                b = whole.slice(lo, L.ROWS)
-                ids = b.column("id").to_numpy(zero_copy_only=False)
-                tokens, n = L.flattened(b.column("tokens"))
-                owner = np.repeat(np.arange(len(n)), n)
-                cells, h = level[cell_of(tokens)], mixed(tokens)
-                bits = np.array(L.packed_bits(owner, h, n), object)
-                # By set, then rarity, then hash; equal hashes stay in the order of the tokens.
-                order = np.argsort(owner.astype(np.uint64) << np.uint64(52) | cells.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20), kind="stable")
-                pos = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                # A set needs no more of its rarest tokens than leave the smallest overlap it can have with any partner.
-                probe = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-                keep = (pos < probe[owner]) & (cells[order] > 1)  # a cell that counted one token has no second set
-                at, pos, own = order[keep], pos[keep], owner[keep]
-                key, copy = L.blocked(tokens[at], ids[own], most(cells[at]), None, block)
-                fixed = lambda s, ids=ids, n=n, bits=bits: {"id": pa.array(ids[s]), "n": pa.array(n[s].astype(np.int32)), "bits": pa.array(bits[s].tolist(), pa.binary())}
-                yield L.bucketed(own[copy], key, {"pos": pos[copy].astype(np.int32)}, buckets, fixed)
+        for b in L.slices(batches):
+            ids = b.column("id").to_numpy(zero_copy_only=False)
+            tokens, n = L.flattened(b.column("tokens"))
+            owner = np.repeat(np.arange(len(n)), n)
+            cells, h = level[cell_of(tokens)], mixed(tokens)
+            bits = np.array(L.packed_bits(owner, h, n), object)
+            # By set, then rarity, then hash; equal hashes stay in the order of the tokens.
+            order = np.argsort(owner.astype(np.uint64) << np.uint64(52) | cells.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20), kind="stable")
+            pos = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            # A set needs no more of its rarest tokens than leave the smallest overlap it can have with any partner.
+            probe = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            keep = (pos < probe[owner]) & (cells[order] > 1)  # a cell that counted one token has no second set
+            at, pos, own = order[keep], pos[keep], owner[keep]
+            key, copy = L.blocked(tokens[at], ids[own], most(cells[at]), None, block)
+            fixed = lambda s, ids=ids, n=n, bits=bits: {"id": pa.array(ids[s]), "n": pa.array(n[s].astype(np.int32)), "bits": pa.array(bits[s].tolist(), pa.binary())}
+            yield L.bucketed(own[copy], key, {"pos": pos[copy].astype(np.int32)}, buckets, part, fixed)
 
     return run
 
 
-def candidates(ids: np.ndarray, n: np.ndarray, bits: list[bytes], owner: np.ndarray, key: np.ndarray, pos: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def candidates(ids: np.ndarray, n: np.ndarray, bits: pa.Array | list[bytes], owner: np.ndarray, key: np.ndarray, pos: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of set numbers that may reach the threshold, by the trees of all lists of a bucket; a pair may come more than once.
     Sets are in the order of their sizes, and postings in that of their sets.
 
@@ -147,7 +145,7 @@ def _meet(threshold: float):
             ids, n = t.column("id").to_numpy(), t.column("n").to_numpy().astype(np.int64)
             key, count = L.flattened(t.column("keys").chunk(0))
             pos, _ = L.flattened(t.column("pos").chunk(0))
-            for x, y in candidates(ids, n, t.column("bits").to_pylist(), np.repeat(np.arange(len(n)), count), key, pos.astype(np.int64), threshold):
+            for x, y in candidates(ids, n, t.column("bits").chunk(0), np.repeat(np.arange(len(n)), count), key, pos.astype(np.int64), threshold):
                 a, b = ids[x], ids[y]
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
@@ -164,12 +162,12 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, block: int = L.BLOCK)
     spark = sets.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = sets.where(F.size("tokens") > 0)
-    total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    count, total = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
     table = spark.sparkContext.broadcast(frequency_table(sets))
-    shape = "bucket int, id long, n int, bits binary, keys array<int>, pos array<int>"
-    buckets = L.number_of_buckets(int(total * (1 - threshold)), n)
-    posted = sets.select("id", "tokens").mapInArrow(_postings(table, threshold, buckets, block), shape)
-    pairs = written(L.exchanged(posted, n, buckets).mapInArrow(_meet(threshold), "a long, b long").distinct(), "pairs")
+    postings = int(total * (1 - threshold))
+    buckets = L.number_of_buckets(postings, n, spark.sparkContext.defaultParallelism)
+    posted = lambda part: sets.select("id", "tokens").mapInArrow(_postings(table, threshold, buckets, part, block), L.PACKED)
+    pairs = L.met(posted, _meet(threshold), ("a", "b"), n, L.rounds(count, total, postings, buckets))
     return exact_similarity(pairs, sets.select("id", "tokens"), threshold)
 
 

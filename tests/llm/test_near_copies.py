@@ -121,3 +121,41 @@ def test_all_pairs_come_from_the_trees(monkeypatch):
     assert want and want <= got and len(got) < len(n) * (len(n) - 1) // 4
     monkeypatch.setattr(near_copies.SignatureTrees, "pairs", lambda *_: iter(()))
     assert list(near_copies.candidates(*args)) == []
+
+
+def test_exchange_is_bounded_whatever_the_partitions(spark, monkeypatch):
+    """A set stands in as many buckets as postings and cores need, not in one for each partition; rounds move a share of them each."""
+    assert set_lists.number_of_buckets(10_000, 200, 4) == 8 and set_lists.number_of_buckets(87_000_000, 200, 4) == 87
+    parts = set_lists.rounds(500_000, 170_000_000, 85_000_000, 85)
+    assert 1 < len(parts) < 10 and [k for a, b in parts for k in range(a, b)] == list(range(85))
+    assert len(set_lists.rounds(10**9, 34 * 10**10, 17 * 10**10, 170_000)) < 16 and set_lists.rounds(0, 0, 0, 8) == [(0, 8)]
+    sets = family(6)
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], SHAPE)
+    monkeypatch.setattr(set_lists, "ROUND", 1_000)
+    monkeypatch.setattr(set_lists, "ROUND_TOKEN", 1)
+    assert {(r.id_a, r.id_b) for r in near_copy_pairs(df, 0.5).collect()} == jaccard(sets, 0.5)
+
+
+def test_wide_and_narrow_bitmaps():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 10**6, int(k))) for k in (1, 200, 300, 700, 1500, 5000, 40_000)]
+    sets += [x[: len(x) - len(x) // 9] for x in sets]
+    n = np.array([len(x) for x in sets])
+    bits = set_lists.packed_bits(np.repeat(np.arange(len(n)), n), mixed(np.concatenate(sets)), n)
+    maps = set_lists.Bitmaps(bits, n)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(n)), np.arange(len(n))))
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (maps.common(i, j) >= both).all() and len(bits[2]) == 1024 // 8 and (maps.common(i, j) < n[i])[both == 0].any()
+
+
+def test_vectors_go_when_their_join_is_done(spark):
+    import os
+
+    from spindrel.session import shared_dir
+
+    df = spark.createDataFrame([(1, [5, 6], [2.0, 1.0]), (2, [5], [1.0])], "id long, terms array<long>, weights array<double>")
+    there = lambda: {x for x in os.listdir(f"{shared_dir(spark)}/spindrel") if x.startswith(("vectors-", "pairs-"))}
+    cosine_join(df, df, 0.5)
+    before = there()
+    cosine_join(df, df, 0.5)
+    assert there() == before
